@@ -41,26 +41,49 @@ class Settings:
 
 def _words(text: Column) -> Column:
     """Raw words, lower-cased; a name has ``^`` in front. Names are capitalised words that follow a word within a sentence."""
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{L})", "^")
-    return F.trim(F.lower(F.regexp_replace(named, r"[^\p{L}\p{N}^]+", " ")))
+    named = F.regexp_replace(text, r" (?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{L})", " ^")
+    # single spaces between words are left alone: replacing every one of them would cost more than all the rest
+    bare = F.regexp_replace(named, r" ?[^\p{L}\p{N}^ ]+ ?", " ")
+    return F.trim(F.lower(F.regexp_replace(bare, "  +", " ")))
 
 
 def _template(words: Column) -> Column:
     names = F.regexp_replace(words, r"\^+[^ ]*", "^")
     numbers = F.regexp_replace(names, r"[0-9]+", "#")
-    return F.regexp_replace(numbers, rf"(?<=# )(?:{UNITS.replace(' ', '|')})(?= |$)", "~")
+    return F.regexp_replace(numbers, rf"# (?:{UNITS.replace(' ', '|')})(?= |$)", "# ~")
+
+
+def _joined(first: Column, then: Column, offset: int) -> Column:
+    """Hashes of stretches: each of ``first`` with the one of ``then`` that starts ``offset`` words later."""
+    later = F.slice(then, offset + 1, F.greatest(F.size(then) - offset, F.lit(0)))
+    return F.zip_with(F.slice(first, 1, F.size(later)), later, lambda a, b: F.xxhash64(a, b))
 
 
 def _windows(rows: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
     """rows: words, template (strings) and further columns. One row for each window: pos, size, h, and the columns kept."""
-    split = rows.where(F.length("words") > 0).select(*keep, F.split("words", " ").alias("raw"), F.split("template", " ").alias("canon"))
+    split = rows.select(*keep, F.split("words", " ").alias("raw"), F.split("template", " ").alias("canon"))
+    # hashes of 1, 2, 4, ... words, each a column of its own made of two neighbours of the one before: slices or elements of
+    # the word array inside a lambda would cost many times more
+    split = split.withColumn("h1_", F.transform("canon", lambda x: F.xxhash64(x)))
+    power = 1
+    while power * 2 <= max(sizes):
+        split = split.withColumn(f"h{power * 2}_", _joined(F.col(f"h{power}_"), F.col(f"h{power}_"), power))
+        power *= 2
+
     def hashes(size: int) -> Column:
-        starts = F.when(F.size("canon") >= size, F.sequence(F.lit(1), F.size("canon") - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice("canon", i, size)))
+        made, done = None, 0
+        for bit in reversed(range(size.bit_length())):
+            if size >> bit & 1:
+                made = F.col(f"h{1 << bit}_") if made is None else _joined(made, F.col(f"h{1 << bit}_"), done)
+                done += 1 << bit
+        return made
 
     out = None
     for size in sizes:
-        part = split.select("*", F.posexplode(hashes(size)).alias("pos", "h")).withColumn("size", F.lit(size))
+        # a lambda inside the generator would take it, and the join above it, out of code generation, and then the word
+        # arrays would be copied for every window and not for hits only. The outer form keeps the optimiser from filtering
+        # on a second copy of the whole expression; the join drops its null rows
+        part = split.withColumn("hashes", hashes(size)).select(*keep, "raw", "canon", F.posexplode_outer("hashes").alias("pos", "h"), F.lit(size).alias("size"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -71,13 +94,15 @@ def benchmark_windows(benchmark: DataFrame, s: Settings, text_col: str, id_col:
     words = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), _words(F.coalesce(text, F.lit(""))).alias("words"))
     items = words.withColumn("template", _template(F.col("words"))).withColumn("n", F.size(F.split("words", " ")))
     items = items.where((F.col("n") >= s.least_words) & (F.length("words") > 0)).distinct()
+    items = written(items)  # the filters below would otherwise be planned through all of the above, many times over
     sizes = [r[0] for r in items.select(F.least("n", F.lit(s.width)).alias("s")).distinct().orderBy("s").collect()]  # at most width values
     if not sizes:
         return None
-    made = _windows(items, sizes, ["item_id", "n"]).where(F.col("size") == F.least("n", F.lit(s.width)))
+    made = _windows(items, sizes, ["item_id", "n"]).where(F.col("h").isNotNull() & (F.col("size") == F.least("n", F.lit(s.width))))
     cut = made.select("item_id", F.col("pos").alias("bpos"), "size", "h", F.expr("slice(canon, pos + 1, size)").alias("bcanon"), F.expr("slice(raw, pos + 1, size)").alias("braw"))
     literal = F.size(F.filter("bcanon", lambda t: ~t.rlike("[#^~]")))
-    kept = cut.where(literal >= F.least(F.lit(s.literals), F.col("size")))
+    kept = written(cut.where(literal >= F.least(F.lit(s.literals), F.col("size"))))
+    kept = kept.withColumn("btext", F.concat(F.concat_ws(" ", "bcanon"), F.lit(" ")))
     totals = kept.groupBy("item_id").agg(F.count_distinct("bpos").alias("windows"))
     return written(kept.join(totals, "item_id"))
 
@@ -95,7 +120,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     words = docs.where(text.isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), _words(text).alias("words"))
     probed = _windows(words.withColumn("template", _template(F.col("words"))), sizes, ["doc_id", "h1"])
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = probed.join(F.broadcast(wanted) if small else wanted, ["h", "size"]).where(F.expr("slice(canon, pos + 1, size) = bcanon"))
+    # a prefix test, not an equality of the two sides: that would become a join key computed for every window
+    window = F.expr("concat(concat_ws(' ', slice(canon, pos + 1, size)), ' ')")
+    hits = probed.join(F.broadcast(wanted) if small else wanted, ["h", "size"]).where(F.startswith(window, F.col("btext")))
     hits = hits.select("doc_id", "h1", "item_id", "windows", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "bcanon", "braw", F.expr("slice(raw, pos + 1, size)").alias("raw"))
     filled = F.zip_with("braw", "raw", lambda b, d: F.struct(b.alias("b"), d.alias("d")))
     hits = hits.withColumn("pairs", F.filter(filled, lambda p, i: F.get("bcanon", i).rlike("[#^~]"))).drop("braw", "raw", "bcanon")

@@ -68,10 +68,11 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     parsed = docs.where(text.isNotNull()).select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("id"), _hash(text).alias("h1"), F.crc32(text.cast("binary")).alias("h2"), lines.alias("lines")
     )
+    # the outer forms keep the optimiser from filtering on second copies of these expressions
     total = F.aggregate("lines", F.lit(0), lambda a, line: a + F.size(line))
-    rows = parsed.select("id", "h1", "h2", total.alias("total"), F.posexplode("lines").alias("pos", "tokens"))
+    rows = parsed.select("id", "h1", "h2", total.alias("total"), F.posexplode_outer("lines").alias("pos", "tokens"))
     rows = rows.where(F.size("tokens") >= s.least_tokens)
-    rows = rows.select("id", "h1", "h2", "total", "pos", F.size("tokens").alias("n"), F.explode(_templates(F.col("tokens"), s)).alias("key"))
+    rows = rows.select("id", "h1", "h2", "total", "pos", F.size("tokens").alias("n"), F.explode_outer(_templates(F.col("tokens"), s)).alias("key"))
     table = written(rows)
 
     owner = F.min(F.struct("id", "h1", "h2")).alias("owner")
