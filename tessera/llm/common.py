@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop, shared_dir, written  # noqa: F401  (used by the operators)
+
 #: Rows in one Arrow batch sent to Python: texts can be long, so batches are kept short.
 ARROW_ROWS = 1000
 
-_made: list[str] = []
-
-
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of text rows small, unless the session asks for fewer rows already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -24,52 +19,6 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        _made.append(found)
-    return found.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(hadoop).delete(place, True)
-
-
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage and survives lost executors. The table is deleted when the driver's Python ends; loops
-    delete superseded tables earlier with ``drop``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    atexit.register(_forget, spark, path)
-    back = spark.read.parquet(path)
-    back._tessera_path = path
-    return back
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is not None and not context._jsc.sc().isStopped():
-        _delete(spark, path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the table behind a DataFrame that ``written`` returned."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
