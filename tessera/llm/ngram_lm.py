@@ -43,11 +43,15 @@ _LOW = np.uint64((1 << WORD_BITS) - 1)
 
 
 def squeeze(values: np.ndarray, dtype: str) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(dtype)).tobytes())
+    """Compressed byte planes: the high bytes of small numbers take next to nothing."""
+    wide = np.ascontiguousarray(values.astype(dtype))
+    planes = wide.view(np.uint8).reshape(len(wide), wide.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def expand(data: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
 def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -215,13 +219,14 @@ def _unpack40(data: bytes) -> np.ndarray:
 
 
 def _chunk_pairs(r: dict, hot: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
-    """A chunk's pairs in the order of shards: contexts, words, training counts, shards, and the order itself."""
+    """A chunk's pairs in the order of shards: contexts, words, training counts (if given), shards, and the order itself."""
     vocabulary = expand(r["vocabulary"], "<u8")
     contexts = np.repeat(vocabulary, expand(r["successors"], "<u4"))
     words = vocabulary[expand(r["next_words"], "<u4")]
     shard = split_pairs(contexts, words, hot, shards)
     order = np.lexsort((words & _LOW, contexts, shard))
-    return contexts[order], words[order], expand(r["pair_counts"], "<u4")[order], shard[order], order
+    count = expand(r["pair_counts"], "<u4")[order] if r.get("pair_counts") else None
+    return contexts[order], words[order], count, shard[order], order
 
 
 def _look_up_pairs(counts: DataFrame, shards: int, hot: np.ndarray, hot_counts: np.ndarray) -> DataFrame:
@@ -342,7 +347,7 @@ def _score_chunk(counts: dict, tokens: dict, words: list[dict], found: list[dict
     return pa.table([pa.array(c, t) for c, t in zip(columns, _SCORE.values())], names=list(_SCORE))
 
 
-def score(docs: DataFrame, train: Column, text_col: str = "text", id_col: str = "doc_id", chunk_tokens: int = 1 << 21) -> DataFrame:
+def score(docs: DataFrame, train: Column, text_col: str = "text", id_col: str = "doc_id", chunk_tokens: int = 3 << 19) -> DataFrame:
     """Scores every row of docs with the model of the rows where ``train`` holds.
 
     Returns doc_id, train (as given), n_tokens, n_known, train_tokens, base_score (the unigram's log10 probability) and
@@ -371,7 +376,7 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", id_col: str =
     totals = Totals(n, sum(r["n"] for r in heads), hot, hot_counts, np.sum(types, axis=0) if types else np.zeros(len(hot), np.int64))
 
     nothing = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
-    count_names = ("vocabulary", "successors", "next_words", "pair_counts")
+    count_names = ("vocabulary", "successors", "next_words")
     token_names = ("pairs", "rows", "ids", "folds", "lengths")
     parts = [
         counts.select("chunk", F.lit(-1).cast("long").alias("shard"), F.lit("c").alias("kind"), *count_names, *nothing(*token_names, "values", "codes", "weights")),
