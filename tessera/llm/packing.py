@@ -7,7 +7,7 @@ for a document cut between sentences, ``cut_inside`` for a cut within one, ``ext
 
 With p the places, cost(j) = min over i of cost(i) + p(i) + size - p(j) + penalty(j), for p(j) - p(i) <= size: the least
 cost(i) + p(i) of a sliding window, kept in a monotone queue, so each place enters and leaves once. A window whose length is
-a power of two needs no padding and is tried beside it.
+a power of two (from ``least_short``) needs no padding and is tried beside it.
 
 A partition is packed in blocks of ``block_tokens``; the last, open window of a block is carried into the next one, so only
 the end of a partition is left with a short window. One pass, no shuffle, bounded memory.
@@ -42,6 +42,7 @@ class Settings:
     cut_sentence: int = 2
     cut_inside: int = 32
     extra: int = 24
+    least_short: int = 128
 
 
 def cuts(places: list[int], penalties: list[int], s: Settings) -> list[int]:
@@ -51,8 +52,7 @@ def cuts(places: list[int], penalties: list[int], s: Settings) -> list[int]:
     cost = [0] * n
     back = [0] * n
     queue: deque[int] = deque([0])
-    powers = [1 << k for k in range(s.size.bit_length()) if 1 << k <= s.size]
-    short = powers[:-1] if powers[-1] == s.size else powers
+    short = [1 << k for k in range(s.size.bit_length()) if s.least_short <= 1 << k < s.size]
     size, extra = s.size, s.extra
     for j in range(1, n):
         p = places[j]
@@ -104,7 +104,7 @@ class Encoder:
     _parts = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
     _other_space = re.compile(r"[^\S \n]").search
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000) -> None:
+    def __init__(self, path: str, end_id: int, most: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -125,30 +125,37 @@ class Encoder:
         self.used = 0
 
     def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            new = np.fromiter((x for w in ids for x in w), np.uint32)
-            while self.used + len(new) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(new)] = new
-            ends = self.used + np.cumsum([len(w) for w in ids])
-            first = len(self.numbers)
-            while first + len(part) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.starts[first + 1 : first + len(part) + 1] = ends
-            self.used = int(ends[-1])
-            self.numbers.update(zip(part, range(first, first + len(part))))
+        """Words that start with white space are encoded many at a time: where one ends, the ids are parted anyway."""
+        spaced = [w for w in words if w[0] in " \n" and not w.isspace()]
+        for i in range(0, len(spaced), 512):
+            part = spaced[i : i + 512]
+            made = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            first = np.fromiter((a for a, _ in made.offsets), np.int64, len(made.ids))
+            ends = np.cumsum([len(w) for w in part])
+            self._add(part, made.ids, np.bincount(np.searchsorted(ends, first, "right"), minlength=len(part)))
+        for w in words:
+            if not (w[0] in " \n" and not w.isspace()):
+                ids = self.tokenizer.encode(w, add_special_tokens=False).ids
+                self._add([w], ids, np.array([len(ids)]))
+
+    def _add(self, words: list[str], ids: list[int], counts: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        first = len(self.numbers)
+        while first + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.starts[first + 1 : first + len(words) + 1] = self.used + np.cumsum(counts)
+        self.used += len(ids)
+        self.numbers.update(zip(words, range(first, first + len(words))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's end id included, and the ids of each text."""
-        if len(self.numbers) > self.most:
-            self._clear()
         parts = [([t] if self._other_space(t) else self._parts(t)) if t else [] for t in texts]
         words = [w for p in parts for w in p]
         new = [w for w in dict.fromkeys(words) if w not in self.numbers]
-        if new:
-            self._learn(new)
+        known, used = len(self.numbers), self.used
+        self._learn(new)
         number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         lengths = self.starts[number + 1] - self.starts[number]
         owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
@@ -159,9 +166,38 @@ class Encoder:
         inner = np.ones(len(out), bool)
         inner[np.cumsum(counts) - 1] = False
         out[inner] = self.flat[at]
+        if len(self.numbers) > self.most:  # the first words met are the frequent ones: they stay, the new ones go
+            for w in new:
+                del self.numbers[w]
+            if known > self.most:
+                self._clear()
+            else:
+                self.used = used
         return out, counts
 
 
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for each Python worker, which serves many tasks."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
+
+
+def _groups(texts: list[str | None], chars: int = 1 << 21) -> Iterator[slice]:
+    """Slices of texts with about so many characters."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= chars:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 # --- the operator ------------------------------------------------------------------------------------------------------
 
 _PIECE = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
@@ -223,8 +259,8 @@ def pack(docs: DataFrame, tokenizer: str, settings: Settings = Settings(), text_
     types = _PIECE | ({"ids": pa.list_(pa.int32())} if with_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, settings.end_id)
-        packer = Packer(TaskContext.get().partitionId() << 40, encoder.ends_sentence, settings)
+        coder = encoder(tokenizer, settings.end_id)
+        packer = Packer(TaskContext.get().partitionId() << 40, coder.ends_sentence, settings)
 
         def rows(pieces: Iterator[tuple]) -> pa.RecordBatch:
             out = [(k, s, n, zlib.crc32(ids.tobytes()), t, q, o, *([ids.tolist()] if with_ids else [])) for k, s, n, ids, t, q, o in pieces]
@@ -233,10 +269,10 @@ def pack(docs: DataFrame, tokenizer: str, settings: Settings = Settings(), text_
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 128):
-                ids, counts = encoder.encode(texts[i : i + 128])
+            for group in _groups(texts):
+                ids, counts = coder.encode(texts[group])
                 ends = np.cumsum(counts)
-                for key, stop, count in zip(keys[i : i + 128], ends.tolist(), counts.tolist()):
+                for key, stop, count in zip(keys[group], ends.tolist(), counts.tolist()):
                     if (done := rows(packer.add(key, ids[stop - count : stop]))).num_rows:
                         yield done
         yield rows(packer.pack(True))
