@@ -61,6 +61,9 @@ def cuts(places: list[int], penalties: list[int], s: Settings) -> list[int]:
         i = queue[0]
         length = p - places[i]
         best = cost[i] + (size - length + extra if length < size else 0)
+        k = at.get(p - size)  # a full window, which costs nothing, may stand behind the head of the queue
+        if k is not None and cost[k] < best:
+            best, i = cost[k], k
         for power in short:
             k = at.get(p - power)
             if k is not None and cost[k] + extra < best:
@@ -104,7 +107,7 @@ class Encoder:
     _parts = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
     _other_space = re.compile(r"[^\S \n]").search
 
-    def __init__(self, path: str, end_id: int, most: int = 500_000) -> None:
+    def __init__(self, path: str, end_id: int, most: int = 1_200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
