@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def pow32(base: Column, exponent: Column, bits: int, signed: bool) -> Column:
     """base to the exponent, wrapped to an integer of ``bits`` bits (8 to 64). Multiplies ``exponent`` times."""
-    modulus = F.lit(1 << bits).cast("decimal(38,0)")
+    modulus = F.lit(str(1 << bits)).cast("decimal(38,0)")
     if bits <= 32:
         wrapped = F.aggregate(F.array_repeat(F.pmod(base.cast("long"), F.lit(1 << bits)), exponent), F.lit(1).cast("long"), lambda a, x: F.pmod(a * x if bits < 32 else _mul32(a, x), F.lit(1 << bits)))
         if signed:
@@ -17,7 +17,7 @@ def pow32(base: Column, exponent: Column, bits: int, signed: bool) -> Column:
     start = F.pmod(base.cast("decimal(38,0)"), modulus)
     wrapped = F.aggregate(F.array_repeat(start, exponent), F.lit(1).cast("decimal(38,0)"), lambda a, x: _mul64(a, x))
     if signed:
-        half = F.lit(1 << 63).cast("decimal(38,0)")
+        half = F.lit(str(1 << 63)).cast("decimal(38,0)")
         return F.when(wrapped >= half, (wrapped - modulus).cast("decimal(20,0)")).otherwise(wrapped.cast("decimal(20,0)")).cast("long")
     return wrapped.cast("decimal(20,0)")
 
@@ -30,7 +30,7 @@ def _mul32(a: Column, x: Column) -> Column:
 
 def _mul64(a: Column, x: Column) -> Column:
     """a * x mod 2**64 in decimals of 38 digits: x in four parts of 16 bits, each product below 2**80."""
-    modulus = F.lit(1 << 64).cast("decimal(38,0)")
+    modulus = F.lit(str(1 << 64)).cast("decimal(38,0)")
     out = F.lit(0).cast("decimal(38,0)")
     for i in (48, 32, 16, 0):
         part = F.floor(x / F.lit(1 << i).cast("decimal(20,0)")).cast("decimal(20,0)") % F.lit(65536).cast("decimal(6,0)")

@@ -106,7 +106,7 @@ def parse_dec_u64(s: Column) -> Column:
     """Null on anything but digits (a + may lead) or beyond 64 bits."""
     digits = F.regexp_replace(F.regexp_replace(s, r"\A\+", ""), r"\A0+(?=[0-9])", "")
     value = F.when(s.rlike(r"\A\+?[0-9]+\z") & (F.length(digits) <= 20), digits.try_cast("decimal(38,0)"))
-    return F.when(value < F.lit(_U64).cast("decimal(38,0)"), value.cast("decimal(20,0)"))
+    return F.when(value < F.lit(str(_U64)).cast("decimal(38,0)"), value.cast("decimal(20,0)"))
 
 
 def parse_dec_i64(s: Column) -> Column:

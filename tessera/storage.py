@@ -34,7 +34,7 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     atexit.register(_forget, spark, path)
-    back = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
     back._tessera_path = path
     return back
 

@@ -44,7 +44,7 @@ UNSIGNED = {8: T.ShortType(), 16: T.IntegerType(), 32: T.LongType(), 64: T.Decim
 def unsigned(value: Column, bits: int) -> Column:
     """value in the type for unsigned integers of ``bits`` bits; raises if it is out of range."""
     wide = value.cast("decimal(38,0)")
-    ok = (wide >= 0) & (wide < F.lit(1 << bits).cast("decimal(38,0)"))
+    ok = (wide >= 0) & (wide < F.lit(str(1 << bits)).cast("decimal(38,0)"))
     return F.when(value.isNull() | ok, wide).otherwise(F.raise_error(F.lit(f"value out of range for u{bits}"))).cast(UNSIGNED[bits])
 
 
