@@ -96,6 +96,19 @@ def places_of(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, s: Se
 # --- encoding ----------------------------------------------------------------------------------------------------------
 
 
+class _Numbers(dict):
+    """Numbers words as they are first asked for, and lists those in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Encodes texts with a byte-level BPE tokenizer, remembering the ids of words.
 
@@ -122,44 +135,46 @@ class Encoder:
             self.ends_sentence[i] = "\n" in piece or piece.rstrip("\"')]").endswith((".", "!", "?", "。"))
 
     def _clear(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = _Numbers()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        """Words that start with white space are encoded many at a time: where one ends, the ids are parted anyway."""
-        spaced = [w for w in words if w[0] in " \n" and not w.isspace()]
-        for i in range(0, len(spaced), 512):
-            part = spaced[i : i + 512]
+    def _learn(self, words: list[str], first: int) -> None:
+        """The ids of words numbered from ``first``. Runs of words that start with white space are encoded at once: where one
+        ends, the ids are parted anyway."""
+        at = 0
+        while at < len(words):
+            stop = at
+            while stop < len(words) and stop - at < 512 and words[stop][0] in " \n" and not words[stop].isspace():
+                stop += 1
+            part = words[at : max(stop, at + 1)]
             made = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            first = np.fromiter((a for a, _ in made.offsets), np.int64, len(made.ids))
-            ends = np.cumsum([len(w) for w in part])
-            self._add(part, made.ids, np.bincount(np.searchsorted(ends, first, "right"), minlength=len(part)))
-        for w in words:
-            if not (w[0] in " \n" and not w.isspace()):
-                ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-                self._add([w], ids, np.array([len(ids)]))
-
-    def _add(self, words: list[str], ids: list[int], counts: np.ndarray) -> None:
+            counts = np.array([len(made.ids)])
+            if len(part) > 1:
+                begins = np.fromiter((a for a, _ in made.offsets), np.int64, len(made.ids))
+                ends = np.cumsum([len(w) for w in part])
+                counts = np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(part))
+            self._add(first + at, made.ids, counts)
+            at += len(part)
+
+    def _add(self, first: int, ids: list[int], counts: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        first = len(self.numbers)
-        while first + len(words) + 1 > len(self.starts):
+        while first + len(counts) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.starts[first + 1 : first + len(words) + 1] = self.used + np.cumsum(counts)
+        self.starts[first + 1 : first + len(counts) + 1] = self.used + np.cumsum(counts)
         self.used += len(ids)
-        self.numbers.update(zip(words, range(first, first + len(words))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's end id included, and the ids of each text."""
         parts = [([t] if self._other_space(t) else self._parts(t)) if t else [] for t in texts]
         words = [w for p in parts for w in p]
-        new = [w for w in dict.fromkeys(words) if w not in self.numbers]
         known, used = len(self.numbers), self.used
-        self._learn(new)
         number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        new, self.numbers.new = self.numbers.new, []
+        self._learn(new, known)
         lengths = self.starts[number + 1] - self.starts[number]
         owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
         counts = np.bincount(owner, lengths, len(texts)).astype(np.int64) + 1
