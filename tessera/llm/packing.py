@@ -17,15 +17,18 @@ Defined cases: a null text is empty and is its end id alone; repeated rows are p
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,16 +112,51 @@ class _Numbers(dict):
         return number
 
 
+#: The byte-level pre-tokenizer's pattern.
+_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _visible_bytes() -> dict[str, int]:
+    """How byte-level vocabularies write bytes: printable Latin-1 as itself, the others in order from U+0100 on."""
+    as_is = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in as_is]
+    return {chr(b): b for b in as_is} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _ranked(config: dict) -> Callable[[str], list[int]] | None:
+    """The same byte-level merges as ranks, which encode a word several times faster; None for other kinds of tokenizer.
+
+    Needs what makes ranks equal to merges: ids that ascend with the merges, and no normaliser, prefix or dropout.
+    """
+    model, before = config["model"], config["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and config["normalizer"] is None and before.get("type") == "ByteLevel"
+    plain = plain and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:])) or len(model["vocab"]) != len(made) + 256:
+        return None
+    import tiktoken
+
+    table = _visible_bytes()
+    ranks = {bytes(map(table.__getitem__, piece)): i for piece, i in model["vocab"].items()}
+    return tiktoken.Encoding("ranked", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Encoder:
     """Encodes texts with a byte-level BPE tokenizer, remembering the ids of words.
 
-    Its pre-tokenizer always parts a character that is no white space from a following white space, so the ids of a text
-    are those of its stretches ``white space, then other characters``. Only spaces and line feeds are used to cut; a text
-    with any other white space is encoded in one piece.
+    Its pre-tokenizer always parts a character that is no white space from a following white space, and white space from a
+    following space and word. So the ids of a usual text are those of its words with the one space or line feed before each.
+    Texts with longer stretches of white space are cut only before a stretch; a text with white space other than spaces and
+    line feeds is encoded in one piece. Words of Latin script go through the merges as ranks, others through the tokenizer.
     """
 
     _parts = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
     _other_space = re.compile(r"[^\S \n]").search
+    _latin_word = re.compile("[ \n]?[!-~\u00a1-\u024f]*").fullmatch
+    _unusual = r"  | \n|\n\n\n|\n\n |\n\n\z|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    _cut = "\x1f"  # in no usual text
 
     def __init__(self, path: str, end_id: int, most: int = 1_200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -126,6 +164,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as file:
+            self.ranked = _ranked(json.load(file))
         self.end_id, self.most = end_id, most
         self._clear()
         size = self.tokenizer.get_vocab_size()
@@ -140,23 +180,36 @@ class Encoder:
         self.starts = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _word(self, word: str) -> list[int]:
+        if self.ranked and self._latin_word(word):
+            return self.ranked(word)
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
     def _learn(self, words: list[str], first: int) -> None:
-        """The ids of words numbered from ``first``. Runs of words that start with white space are encoded at once: where one
-        ends, the ids are parted anyway."""
-        at = 0
-        while at < len(words):
-            stop = at
-            while stop < len(words) and stop - at < 512 and words[stop][0] in " \n" and not words[stop].isspace():
-                stop += 1
-            part = words[at : max(stop, at + 1)]
-            made = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            counts = np.array([len(made.ids)])
-            if len(part) > 1:
-                begins = np.fromiter((a for a, _ in made.offsets), np.int64, len(made.ids))
-                ends = np.cumsum([len(w) for w in part])
-                counts = np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(part))
-            self._add(first + at, made.ids, counts)
-            at += len(part)
+        """The ids of words numbered from ``first``."""
+        made = [self._word(w) for w in words]
+        self._add(first, list(chain.from_iterable(made)), np.fromiter(map(len, made), np.int64, len(made)))
+
+    def _words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, in order, and the text of each."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self._unusual).to_numpy(zero_copy_only=False))
+        marked = texts
+        if len(odd):
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            marked = pc.if_else(pa.array(mask), "", texts)
+        for space in " \n":
+            marked = pc.replace_substring(marked, space, self._cut + space)
+        lists = pc.split_pattern(marked, self._cut)
+        words, owner = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+        if len(odd):
+            parts = [[t] if self._other_space(t) else self._parts(t) for t in texts.take(pa.array(odd)).to_pylist()]
+            words = pa.concat_arrays([words, pa.array(list(chain.from_iterable(parts)), words.type)])
+            owner = np.concatenate([owner, np.repeat(odd, [len(p) for p in parts])])
+            order = np.argsort(owner, kind="stable")
+            words, owner = words.take(pa.array(order)), owner[order]
+        return words, owner
 
     def _add(self, first: int, ids: list[int], counts: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
@@ -167,16 +220,17 @@ class Encoder:
         self.starts[first + 1 : first + len(counts) + 1] = self.used + np.cumsum(counts)
         self.used += len(ids)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's end id included, and the ids of each text."""
-        parts = [([t] if self._other_space(t) else self._parts(t)) if t else [] for t in texts]
-        words = [w for p in parts for w in p]
+        words, owner = self._words(texts)
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_pylist()
         known, used = len(self.numbers), self.used
-        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        number = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))
         new, self.numbers.new = self.numbers.new, []
         self._learn(new, known)
+        number = number[coded.indices.to_numpy()]
         lengths = self.starts[number + 1] - self.starts[number]
-        owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
         counts = np.bincount(owner, lengths, len(texts)).astype(np.int64) + 1
         total = int(lengths.sum())
         at = np.arange(total) + np.repeat(self.starts[number] - (np.cumsum(lengths) - lengths), lengths)
@@ -204,12 +258,12 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _encoders[path, end_id]
 
 
-def _groups(texts: list[str | None], chars: int = 1 << 21) -> Iterator[slice]:
-    """Slices of texts with about so many characters."""
+def _groups(texts: pa.Array, most: int = 1 << 21) -> Iterator[slice]:
+    """Slices of texts with about so many bytes."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        size += n
+        if size >= most:
             yield slice(start, i + 1)
             start, size = i + 1, 0
     if start < len(texts):
@@ -286,7 +340,7 @@ def pack(docs: DataFrame, tokenizer: str, settings: Settings = Settings(), text_
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for group in _groups(texts):
                 ids, counts = coder.encode(texts[group])
                 ends = np.cumsum(counts)

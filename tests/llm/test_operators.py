@@ -1,11 +1,13 @@
 """The training-data operators against plain versions on small tables, with nulls, copies, long texts and clashing names."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -188,6 +190,30 @@ def test_html():
     assert html_text.visible_text(None) == "" and html_text.visible_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_encoder_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    reference = Tokenizer.from_file(path)
+    reference.encode_special_tokens = True
+    coder = packing.Encoder(path, 0, most=300)
+    assert coder.ranked
+    pieces = ["word", "it's", "'ll", "x1,y;", "3.14", "größe", "é", "漢字", "привет", "🙂", "<|endoftext|>", "\x1f", "\x00", "'", "a\u0301", "\u00ad"]
+    spaces = [" ", "\n", "  ", "\n\n", " \n", "\n ", "\t", "\u00a0", "\u2028", "\r\n", "\n\n\n", "\n \n", "   ", ""]
+    chance = random.Random(7)
+    usual = ["".join(chance.choice(pieces) + chance.choice([" ", " ", "\n"]) for _ in range(chance.randrange(9))) for _ in range(300)]
+    mixed = ["".join(chance.choice(spaces) + chance.choice(pieces + spaces) for _ in range(chance.randrange(9))) for _ in range(1500)]
+    texts = [None, "", " ", "\n", *usual, *mixed]
+    for plain in (False, True):
+        for at in range(0, len(texts), 90):
+            part = texts[at : at + 90]
+            ids, counts = coder.encode(pa.array(part, pa.string()))
+            want = [reference.encode(t or "", add_special_tokens=False).ids + [0] for t in part]
+            assert counts.tolist() == [len(w) for w in want]
+            assert ids.tolist() == [i for w in want for i in w]
+        coder.ranked = None  # the path of tokenizers of other kinds
+
+
 def test_packing(docs, empty):
     pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
