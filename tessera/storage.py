@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside are deleted when it has ended: a written table doesn't need them any more, and
+    without this they stay on the executors' disks until the driver's JVM collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """df, written as a Parquet table in the shared folder and read back.
 
@@ -32,7 +47,8 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with _shuffles_go(spark):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     atexit.register(_forget, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tessera_path = path
