@@ -7,12 +7,14 @@ differ in fields within one third, share at least one. Lines too short for that
 
 A template recurs if it occurs in ``min_texts`` different texts; for lines of fewer than ``long_tokens`` tokens, which may
 agree by chance, in ``min_short``. Lines under ``least_tokens`` tokens are never dropped. Of a recurring template the lines
-of the text with the least doc_id stay, all others are dropped. Exact copies of a text count as one text and are treated
-alike, and a text of which ``copy_share`` or more of its tokens recur is a copy as a whole, which is for document
-deduplication to judge: its lines stay.
+of the text with the least doc_id stay, all others are dropped, whatever share of a text they are. Exact copies of a text
+count as one text and are treated alike. A text that shares ``copy_share`` or more of its tokens with one text that keeps
+them is compared with it: at a Jaccard similarity of ``similarity`` of their sets of five-word shingles it is a near copy,
+which document deduplication takes as a whole, and the lines that only this text keeps stay.
 
 Scale: lines travel as hashes (distinct texts by hash, templates by hash) and are combined before each shuffle; a template
-with a third of all lines is one row from each task. Texts are shuffled once, to meet their dropped lines.
+with a third of all lines is one row from each task. Texts are shuffled once, to meet their dropped lines; those to compare
+are found by hashes that are broadcast only up to ``BROADCAST_ROWS`` (counted), and only their shingles are shuffled.
 
 Defined cases: a null text stays null and has no lines; equal rows get equal results; ties for the text that keeps its lines
 go to the smaller text hash; a null doc_id counts as the largest; an empty table gives an empty result; further columns are
@@ -26,7 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ascii_lower, written
+from .decontaminate import BROADCAST_ROWS, _joined
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,7 @@ class Settings:
     min_texts: int = 2
     min_short: int = 10
     copy_share: float = 0.5
+    similarity: float = 0.8
 
 
 _LAST = (1 << 63) - 1
@@ -86,11 +90,37 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         found = _in_texts(long, s.min_texts)
     recurring = found.unionByName(_in_texts(short, s.min_short))
     met = table.join(recurring, "key").withColumn("other", (F.col("owner.h1") != F.col("h1")) | (F.col("owner.h2") != F.col("h2")))
-    by_line = met.groupBy("h1", "h2", "pos").agg(F.first("n").alias("n"), F.first("total").alias("total"), F.max("other").alias("other"))
-    by_text = by_line.groupBy("h1", "h2").agg(
-        F.sum("n").alias("recurring"), F.first("total").alias("total"), F.collect_list(F.when(F.col("other"), F.col("pos"))).alias("gone")
-    )
-    return by_text.where((F.col("recurring") < s.copy_share * F.col("total")) & (F.size("gone") > 0)).select("h1", "h2", "gone")
+    met = met.where("other")
+    by_line = met.groupBy("h1", "h2", "pos").agg(F.first("n").alias("n"), F.first("total").alias("total"), F.collect_set(F.struct("owner.h1", "owner.h2")).alias("owners"))
+    by_line = written(by_line)
+    near = _near_copies(docs, by_line, text, s)
+    by_text = by_line.groupBy("h1", "h2").agg(F.collect_list(F.struct("pos", "owners")).alias("lost")).join(near, ["h1", "h2"], "left")
+    lost = F.when(F.col("near").isNull(), F.col("lost")).otherwise(F.filter("lost", lambda line: F.size(F.array_except(line.owners, F.col("near"))) > 0))
+    return by_text.select("h1", "h2", F.transform(lost, lambda line: line.pos).alias("gone")).where(F.size("gone") > 0)
+
+
+def _shingles(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with ``set``: the distinct hashes of five words in a row, or of all words if there are fewer."""
+    words = F.split(F.trim(F.regexp_replace(ascii_lower(text), r"[\x20\x09-\x0D]+", " ")), " ")
+    made = docs.withColumn("words", words).withColumn("w1", F.transform("words", lambda w: F.xxhash64(w)))
+    made = made.withColumn("w2", _joined(F.col("w1"), F.col("w1"), 1))
+    made = made.withColumn("w4", _joined(F.col("w2"), F.col("w2"), 2))
+    made = made.withColumn("w5", _joined(F.col("w4"), F.col("w1"), 4))
+    return made.withColumn("set", F.when(F.size("words") < 5, F.array(F.xxhash64("words"))).otherwise(F.array_distinct("w5")))
+
+
+def _near_copies(docs: DataFrame, by_line: DataFrame, text: Column, s: Settings) -> DataFrame:
+    """h1, h2 and near: the texts (at most a few) of which this one is a near copy, verified on whole shingle sets."""
+    shares = by_line.select("h1", "h2", "n", "total", F.explode("owners").alias("o")).groupBy("h1", "h2", "o").agg(F.sum("n").alias("shared"), F.first("total").alias("total"))
+    pairs = written(shares.where(F.col("shared") >= s.copy_share * F.col("total")).select("h1", "h2", "o"))
+    wanted = pairs.select("h1", "h2").unionByName(pairs.select("o.h1", "o.h2")).distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
+    asked = docs.where(text.isNotNull()).select(_hash(text).alias("h1"), F.crc32(text.cast("binary")).alias("h2"), text.alias("t")).join(wanted, ["h1", "h2"], "left_semi")
+    sets = written(_shingles(asked.dropDuplicates(["h1", "h2"]), F.col("t")).select("h1", "h2", "set"))
+    both = pairs.join(sets, ["h1", "h2"]).join(sets.select(F.struct("h1", "h2").alias("o"), F.col("set").alias("kept")), "o")
+    common = F.size(F.array_intersect("set", "kept"))
+    close = common >= s.similarity * (F.size("set") + F.size("kept") - common) - 1e-9
+    return both.where(close).groupBy("h1", "h2").agg(F.collect_set("o").alias("near"))
 
 
 def _in_texts(lines: DataFrame, least: int) -> DataFrame:

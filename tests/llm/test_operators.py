@@ -184,6 +184,16 @@ def test_line_dedup(spark, empty):
     assert line_dedup.line_report(empty).count() == 0
 
 
+def test_line_dedup_of_large_shares(spark):
+    boiler = " ".join(prose(60, 300).split())
+    page = [prose(20, 310 + i) + "\n" + boiler for i in range(3)]  # three quarters of a page recur: no near copies
+    lines = [prose(30, 320 + i) for i in range(12)]
+    near = ["\n".join(lines), "\n".join(lines[:11] + [prose(9, 340)])]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(page + near)], DOC)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(df).collect()}
+    assert got == {0: page[0], 1: prose(20, 311), 2: prose(20, 312), 3: near[0], 4: near[1]}
+
+
 def test_html():
     page = "<html><head><title>t</title><style>p{}</style></head><body><h1>A &amp; b<p>one<p>two <b>bold</b>  x<ul><li>i<li>j<ol><li>k</ol></ul><table><tr><td>aa<td>b<tr><td>c<td>d</table><p hidden>no<script>var t='</p>';</script><div style='display: none'>no</div><pre> x\n  y</pre>1 < 2"
     assert html_text.visible_text(page) == "A & b\n\none\n\ntwo bold x\n\n- i\n- j\n  1. k\n\naa  b\nc   d\n\n x\n  y\n\n1 < 2"
