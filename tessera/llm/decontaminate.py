@@ -6,6 +6,10 @@ compared word by word. A match of a document and an item on one alignment lists
 stands where which value of the document does. If each value of the item always meets the same value, the document holds
 the item, verbatim or with other numbers and names. It is contaminated if that covers ``coverage`` of the item's windows.
 
+Case tells names, so there is a second, plain form beside the named one: the lower-cased words without names. Windows are
+looked for in both forms; copies in capitals, title case or lower case agree in the plain one. A text or item without names
+has one form that serves as both.
+
 A window needs ``literals`` words that are no placeholders. An item shorter than ``width`` is one window; under
 ``least_words`` words it is too common to be looked for.
 
@@ -47,6 +51,12 @@ def _words(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(bare, "  +", " ")))
 
 
+def _forms(words: Column) -> Column:
+    """The forms of a text: words, and kind (0 named, 1 plain, 2 both in one)."""
+    form = lambda w, kind: F.struct(w.alias("words"), F.lit(kind).alias("kind"))
+    return F.when(F.contains(words, F.lit("^")), F.array(form(words, 0), form(F.translate(words, "^", ""), 1))).otherwise(F.array(form(words, 2)))
+
+
 def _template(words: Column) -> Column:
     names = F.regexp_replace(words, r"\^+[^ ]*", "^")
     numbers = F.regexp_replace(names, r"[0-9]+", "#")
@@ -89,21 +99,23 @@ def _windows(rows: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, s: Settings, text_col: str, id_col: str) -> DataFrame:
-    """item_id, bpos, size, windows (of the item), h, bcanon, braw: the windows to look for."""
+    """item_id, bkind, bpos, size, named and windows (the item's windows in its named form, and in either), h, bcanon, braw,
+    btext: the windows to look for."""
     text = F.col(f"`{text_col}`").cast("string")
     words = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), _words(F.coalesce(text, F.lit(""))).alias("words"))
+    words = words.select("item_id", F.explode(_forms(F.col("words"))).alias("f")).select("item_id", "f.words", F.col("f.kind").alias("bkind"))
     items = words.withColumn("template", _template(F.col("words"))).withColumn("n", F.size(F.split("words", " ")))
     items = items.where((F.col("n") >= s.least_words) & (F.length("words") > 0)).distinct()
     items = written(items)  # the filters below would otherwise be planned through all of the above, many times over
     sizes = [r[0] for r in items.select(F.least("n", F.lit(s.width)).alias("s")).distinct().orderBy("s").collect()]  # at most width values
     if not sizes:
         return None
-    made = _windows(items, sizes, ["item_id", "n"]).where(F.col("h").isNotNull() & (F.col("size") == F.least("n", F.lit(s.width))))
-    cut = made.select("item_id", F.col("pos").alias("bpos"), "size", "h", F.expr("slice(canon, pos + 1, size)").alias("bcanon"), F.expr("slice(raw, pos + 1, size)").alias("braw"))
+    made = _windows(items, sizes, ["item_id", "bkind", "n"]).where(F.col("h").isNotNull() & (F.col("size") == F.least("n", F.lit(s.width))))
+    cut = made.select("item_id", "bkind", F.col("pos").alias("bpos"), "size", "h", F.expr("slice(canon, pos + 1, size)").alias("bcanon"), F.expr("slice(raw, pos + 1, size)").alias("braw"))
     literal = F.size(F.filter("bcanon", lambda t: ~t.rlike("[#^~]")))
     kept = written(cut.where(literal >= F.least(F.lit(s.literals), F.col("size"))))
     kept = kept.withColumn("btext", F.concat(F.concat_ws(" ", "bcanon"), F.lit(" ")))
-    totals = kept.groupBy("item_id").agg(F.count_distinct("bpos").alias("windows"))
+    totals = kept.groupBy("item_id").agg(F.count_distinct(F.when(F.col("bkind") != 1, F.col("bpos"))).alias("named"), F.count_distinct("bpos").alias("windows"))
     return written(kept.join(totals, "item_id"))
 
 
@@ -118,19 +130,27 @@ def find_items(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
         return empty.select("doc_id", "h1", F.lit(None).cast(kind).alias("item_id"), F.lit(0).cast("long").alias("matched"), F.lit(0).cast("long").alias("windows"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("slots"), F.lit(True).alias("consistent"), F.lit(False).alias("contaminated"))
     sizes = [r[0] for r in wanted.select("size").distinct().orderBy("size").collect()]
     words = docs.where(text.isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), _words(text).alias("words"))
-    probed = _windows(words.withColumn("template", _template(F.col("words"))), sizes, ["doc_id", "h1"])
+    words = words.select("doc_id", "h1", F.explode(_forms(F.col("words"))).alias("f")).select("doc_id", "h1", "f.words", "f.kind")
+    probed = _windows(words.withColumn("template", _template(F.col("words"))), sizes, ["doc_id", "h1", "kind"])
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # a prefix test, not an equality of the two sides: that would become a join key computed for every window
     window = F.expr("concat(concat_ws(' ', slice(canon, pos + 1, size)), ' ')")
     hits = probed.join(F.broadcast(wanted) if small else wanted, ["h", "size"]).where(F.startswith(window, F.col("btext")))
-    hits = hits.select("doc_id", "h1", "item_id", "windows", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "bcanon", "braw", F.expr("slice(raw, pos + 1, size)").alias("raw"))
+    hits = hits.where(F.col("kind") + F.col("bkind") != 1)  # like meets like
+    hits = hits.select("doc_id", "h1", "item_id", "windows", F.col("named").alias("named_windows"), (F.least("kind", "bkind") != 1).alias("named"), "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "bcanon", "braw", F.expr("slice(raw, pos + 1, size)").alias("raw"))
     filled = F.zip_with("braw", "raw", lambda b, d: F.struct(b.alias("b"), d.alias("d")))
     hits = hits.withColumn("pairs", F.filter(filled, lambda p, i: F.get("bcanon", i).rlike("[#^~]"))).drop("braw", "raw", "bcanon")
     one = hits.groupBy("doc_id", "h1", "item_id", "shift").agg(
-        F.first("windows").alias("windows"), F.count_distinct("bpos").alias("matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+        F.first("windows").alias("windows"), F.first("named_windows").alias("named_windows"), F.count_distinct("bpos").alias("matched"),
+        F.count_distinct(F.when(F.col("named"), F.col("bpos"))).alias("named"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )  # an item's windows bound what is collected
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p.b))) == F.size("pairs")
     other = F.size(F.filter("pairs", lambda p: p.b != p.d)).cast("long")
+    # renamed copies are measured by the named form alone: the plain one has windows that they can't match
+    by_name = F.col("named") * F.col("windows") >= F.col("matched") * F.col("named_windows")
+    for kept, named in (("matched", "named"), ("windows", "named_windows")):
+        one = one.withColumn(f"{kept}_", F.when(by_name & (F.col("named_windows") > 0), F.col(named)).otherwise(F.col(kept)))
+    one = one.drop("matched", "windows").withColumnsRenamed({"matched_": "matched", "windows_": "windows"})
     rated = one.select("doc_id", "h1", "item_id", F.struct((consistent).alias("consistent"), "matched", (-F.col("shift")).alias("early"), "windows", other.alias("slots")).alias("r"))
     best = rated.groupBy("doc_id", "h1", "item_id").agg(F.max("r").alias("r"))
     share = F.col("r.matched") / F.col("r.windows")

@@ -283,6 +283,17 @@ def test_decontamination(spark, empty):
     assert decontaminate.find_items(empty, bench).count() == 0 and decontaminate.drop_contaminated(df, bench.where("false")).count() == df.count()
 
 
+def test_decontamination_in_another_case(spark, empty):
+    item = "In the north of Kenya the herds of Mary Otieno and Peter Mwangi cross the wide river Tana near the town of Garissa in spring"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    renamed = item.replace("Mary Otieno", "Jane Kimani").replace("Garissa", "Hola")
+    texts = [prose(20, i) + " " + t + ". " + prose(20, 9 + i) for i, t in enumerate([item.upper(), item.title(), item.lower(), item, renamed])] + [prose(60, 30)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC)
+    got = {r["doc_id"]: r for r in decontaminate.find_items(df, bench).collect()}
+    assert set(got) == {*range(5)} and all(r["contaminated"] for r in got.values())
+    assert [got[i]["coverage"] for i in range(4)] == [1.0] * 4
+
+
 def test_sharding(docs, empty):
     limit = 3000
     got = sharding.assign(docs, limit, step=3).collect()
