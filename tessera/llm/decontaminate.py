@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates, all in DataFrame operations.
 
 Texts and benchmark items become templates: lower-cased words in which numbers are ``#``, capitalised words inside a
-sentence (names) ``^`` and units after a number ``~``. Windows of ``width`` template words are joined by their hash and then
-compared word by word. A match of a document and an item on one alignment lists the slots: which value of the item
-stands where which value of the document does. If each value of the item always meets the same value, the document holds
+sentence (names) ``^`` and units after a number ``~``. A run of numbers or of names is one word ("1,200", "New York"). Windows of ``width`` template words are joined by their hash and then
+compared word by word. Inserted and lost words shift the alignment, so the windows of a document and an item that match at
+shifts at most ``slack`` words apart are added up. Such a match lists the slots: which value of the item stands where which
+value of the document does. If each value of the item always meets the same value, the document holds
 the item, verbatim or with other numbers and names. It is contaminated if that covers ``coverage`` of the item's windows.
 
 Case tells names, so there is a second, plain form beside the named one: the lower-cased words without names. Windows are
@@ -41,6 +42,7 @@ class Settings:
     literals: int = 4
     least_words: int = 4
     coverage: float = 0.5
+    slack: int = 16
 
 
 def _words(text: Column) -> Column:
@@ -48,18 +50,19 @@ def _words(text: Column) -> Column:
     named = F.regexp_replace(text, r" (?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{L})", " ^")
     # single spaces between words are left alone: replacing every one of them would cost more than all the rest
     bare = F.regexp_replace(named, r" ?[^\p{L}\p{N}^ ]+ ?", " ")
-    return F.trim(F.lower(F.regexp_replace(bare, "  +", " ")))
+    words = F.trim(F.lower(F.regexp_replace(bare, "  +", " ")))
+    return F.regexp_replace(words, r" (?<=[0-9] )(?=[0-9]+(?: |$))(?<=(?:^| )[0-9]{1,40} )", "_")
 
 
 def _forms(words: Column) -> Column:
     """The forms of a text: words, and kind (0 named, 1 plain, 2 both in one)."""
     form = lambda w, kind: F.struct(w.alias("words"), F.lit(kind).alias("kind"))
-    return F.when(F.contains(words, F.lit("^")), F.array(form(words, 0), form(F.translate(words, "^", ""), 1))).otherwise(F.array(form(words, 2)))
+    return F.when(F.contains(words, F.lit("^")), F.array(form(F.regexp_replace(words, r" (?=\^)(?<=\^[^ ]{1,80} )", "_"), 0), form(F.translate(words, "^", ""), 1))).otherwise(F.array(form(words, 2)))
 
 
 def _template(words: Column) -> Column:
     names = F.regexp_replace(words, r"\^+[^ ]*", "^")
-    numbers = F.regexp_replace(names, r"[0-9]+", "#")
+    numbers = F.regexp_replace(names, r"[0-9]+(?:_[0-9]+)*", "#")
     return F.regexp_replace(numbers, rf"# (?:{UNITS.replace(' ', '|')})(?= |$)", "# ~")
 
 
@@ -99,8 +102,7 @@ def _windows(rows: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, s: Settings, text_col: str, id_col: str) -> DataFrame:
-    """item_id, bkind, bpos, size, named and windows (the item's windows in its named form, and in either), h, bcanon, braw,
-    btext: the windows to look for."""
+    """item_id, bkind, bpos, size, windows (of the item's form), h, bcanon, braw, btext: the windows to look for."""
     text = F.col(f"`{text_col}`").cast("string")
     words = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), _words(F.coalesce(text, F.lit(""))).alias("words"))
     words = words.select("item_id", F.explode(_forms(F.col("words"))).alias("f")).select("item_id", "f.words", F.col("f.kind").alias("bkind"))
@@ -115,8 +117,8 @@ def benchmark_windows(benchmark: DataFrame, s: Settings, text_col: str, id_col:
     literal = F.size(F.filter("bcanon", lambda t: ~t.rlike("[#^~]")))
     kept = written(cut.where(literal >= F.least(F.lit(s.literals), F.col("size"))))
     kept = kept.withColumn("btext", F.concat(F.concat_ws(" ", "bcanon"), F.lit(" ")))
-    totals = kept.groupBy("item_id").agg(F.count_distinct(F.when(F.col("bkind") != 1, F.col("bpos"))).alias("named"), F.count_distinct("bpos").alias("windows"))
-    return written(kept.join(totals, "item_id"))
+    totals = kept.groupBy("item_id", "bkind").agg(F.count_distinct("bpos").alias("windows"))
+    return written(kept.join(totals, ["item_id", "bkind"]))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
@@ -137,20 +139,18 @@ def find_items(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     window = F.expr("concat(concat_ws(' ', slice(canon, pos + 1, size)), ' ')")
     hits = probed.join(F.broadcast(wanted) if small else wanted, ["h", "size"]).where(F.startswith(window, F.col("btext")))
     hits = hits.where(F.col("kind") + F.col("bkind") != 1)  # like meets like
-    hits = hits.select("doc_id", "h1", "item_id", "windows", F.col("named").alias("named_windows"), (F.least("kind", "bkind") != 1).alias("named"), "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "bcanon", "braw", F.expr("slice(raw, pos + 1, size)").alias("raw"))
+    hits = hits.select("doc_id", "h1", "item_id", "windows", F.least("kind", "bkind").alias("kind"), "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "bcanon", "braw", F.expr("slice(raw, pos + 1, size)").alias("raw"))
     filled = F.zip_with("braw", "raw", lambda b, d: F.struct(b.alias("b"), d.alias("d")))
     hits = hits.withColumn("pairs", F.filter(filled, lambda p, i: F.get("bcanon", i).rlike("[#^~]"))).drop("braw", "raw", "bcanon")
-    one = hits.groupBy("doc_id", "h1", "item_id", "shift").agg(
-        F.first("windows").alias("windows"), F.first("named_windows").alias("named_windows"), F.count_distinct("bpos").alias("matched"),
-        F.count_distinct(F.when(F.col("named"), F.col("bpos"))).alias("named"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    # any two shifts at most slack apart share one of these overlapping stretches
+    stretch = F.floor(F.col("shift") / settings.slack)
+    hits = hits.withColumn("stretch", F.explode(F.array(stretch, stretch + 1)))
+    one = hits.groupBy("doc_id", "h1", "item_id", "kind", "stretch").agg(
+        F.first("windows").alias("windows"), F.count_distinct("bpos").alias("matched"), F.min("shift").alias("shift"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )  # an item's windows bound what is collected
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p.b))) == F.size("pairs")
     other = F.size(F.filter("pairs", lambda p: p.b != p.d)).cast("long")
-    # renamed copies are measured by the named form alone: the plain one has windows that they can't match
-    by_name = F.col("named") * F.col("windows") >= F.col("matched") * F.col("named_windows")
-    for kept, named in (("matched", "named"), ("windows", "named_windows")):
-        one = one.withColumn(f"{kept}_", F.when(by_name & (F.col("named_windows") > 0), F.col(named)).otherwise(F.col(kept)))
-    one = one.drop("matched", "windows").withColumnsRenamed({"matched_": "matched", "windows_": "windows"})
     rated = one.select("doc_id", "h1", "item_id", F.struct((consistent).alias("consistent"), "matched", (-F.col("shift")).alias("early"), "windows", other.alias("slots")).alias("r"))
     best = rated.groupBy("doc_id", "h1", "item_id").agg(F.max("r").alias("r"))
     share = F.col("r.matched") / F.col("r.windows")

@@ -294,6 +294,17 @@ def test_decontamination_in_another_case(spark, empty):
     assert [got[i]["coverage"] for i in range(4)] == [1.0] * 4
 
 
+def test_decontamination_of_shifted_items(spark):
+    item = "Every spring the old farmer near New York counts 1,200 sheep on the green hill and sells 3.5 tons of wool to a small shop in Boston before the cold rain comes back over the wide valley"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = item.replace("New York", "Denver").replace("1,200", "950").replace("3.5", "7").replace("in Boston", "in San Diego")
+    split = item.split(" ")
+    texts = [" ".join(split[:20] + ["also"] + split[20:]), " ".join(split[:20] + split[21:]), other]
+    df = spark.createDataFrame([(i, prose(20, i) + " " + t + ". " + prose(20, 9 + i), None, None, None) for i, t in enumerate(texts)], DOC)
+    got = {r["doc_id"]: r for r in decontaminate.find_items(df, bench).collect()}
+    assert all(got[i]["contaminated"] for i in range(3)) and got[2]["coverage"] == 1.0
+
+
 def test_sharding(docs, empty):
     limit = 3000
     got = sharding.assign(docs, limit, step=3).collect()
