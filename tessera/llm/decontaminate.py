@@ -4,8 +4,10 @@ Texts and benchmark items become templates: lower-cased words in which numbers a
 sentence (names) ``^`` and units after a number ``~``. A run of numbers or of names is one word ("1,200", "New York"). Windows of ``width`` template words are joined by their hash and then
 compared word by word. Inserted and lost words shift the alignment, so the windows of a document and an item that match at
 shifts at most ``slack`` words apart are added up. Such a match lists the slots: which value of the item stands where which
-value of the document does. If each value of the item always meets the same value, the document holds
-the item, verbatim or with other numbers and names. It is contaminated if that covers ``coverage`` of the item's windows.
+value of the document does. A place conflicts if its value is changed there and
+changed to something else at another place; values that stay as they are conflict with nothing. If at most
+``conflicts`` of the places do, the document holds the item, verbatim or with other numbers and names. It is contaminated
+if that covers ``coverage`` of the item's windows, or, whatever the conflicts, if windows with equal slots cover ``verbatim``.
 
 Case tells names, so there is a second, plain form beside the named one: the lower-cased words without names. Windows are
 looked for in both forms; copies in capitals, title case or lower case agree in the plain one. A text or item without names
@@ -18,7 +20,7 @@ Scale: windows of documents are made and probed within a task against the benchm
 to ``BROADCAST_ROWS`` windows (checked by a count) and joined by a shuffle beyond that. Only hits are shuffled.
 
 Defined cases: null and empty texts hold nothing; null doc_ids are matched like others; equal rows give one result; an item
-that occurs twice is reported at its best alignment; ties go to the earlier alignment; empty tables give empty results.
+that occurs twice is reported at its best alignment (contaminated, then most windows); ties go to the earlier alignment; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ class Settings:
     least_words: int = 4
     coverage: float = 0.5
     slack: int = 16
+    conflicts: float = 0.2
+    verbatim: float = 2 / 3
 
 
 def _words(text: Column) -> Column:
@@ -140,24 +144,25 @@ def find_items(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     hits = probed.join(F.broadcast(wanted) if small else wanted, ["h", "size"]).where(F.startswith(window, F.col("btext")))
     hits = hits.where(F.col("kind") + F.col("bkind") != 1)  # like meets like
     hits = hits.select("doc_id", "h1", "item_id", "windows", F.least("kind", "bkind").alias("kind"), "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "bcanon", "braw", F.expr("slice(raw, pos + 1, size)").alias("raw"))
-    filled = F.zip_with("braw", "raw", lambda b, d: F.struct(b.alias("b"), d.alias("d")))
+    filled = F.transform("braw", lambda b, i: F.struct((F.col("bpos") + i).alias("place"), b.alias("b"), F.get("raw", i).alias("d")))
     hits = hits.withColumn("pairs", F.filter(filled, lambda p, i: F.get("bcanon", i).rlike("[#^~]"))).drop("braw", "raw", "bcanon")
+    hits = hits.withColumn("same", F.forall("pairs", lambda p: p.b == p.d))
     # any two shifts at most slack apart share one of these overlapping stretches
     stretch = F.floor(F.col("shift") / settings.slack)
     hits = hits.withColumn("stretch", F.explode(F.array(stretch, stretch + 1)))
     one = hits.groupBy("doc_id", "h1", "item_id", "kind", "stretch").agg(
-        F.first("windows").alias("windows"), F.count_distinct("bpos").alias("matched"), F.min("shift").alias("shift"),
+        F.first("windows").alias("windows"), F.count_distinct("bpos").alias("matched"), F.count_distinct(F.when(F.col("same"), F.col("bpos"))).alias("same"), F.min("shift").alias("shift"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )  # an item's windows bound what is collected
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p.b))) == F.size("pairs")
-    other = F.size(F.filter("pairs", lambda p: p.b != p.d)).cast("long")
-    rated = one.select("doc_id", "h1", "item_id", F.struct((consistent).alias("consistent"), "matched", (-F.col("shift")).alias("early"), "windows", other.alias("slots")).alias("r"))
+    places = lambda pairs: F.size(F.array_distinct(F.transform(pairs, lambda p: p.place)))
+    one = one.withColumn("changed", F.array_distinct(F.transform(F.filter("pairs", lambda p: p.b != p.d), lambda p: F.struct(p.b.alias("b"), p.d.alias("d")))))
+    clashing = F.filter("pairs", lambda p: (p.b != p.d) & F.exists("changed", lambda q: (q.b == p.b) & (q.d != p.d)))
+    consistent = places(clashing) <= settings.conflicts * places(F.col("pairs"))
+    one = one.withColumn("consistent", consistent).withColumn("coverage", F.col("matched") / F.col("windows"))
+    held = F.col("consistent") & (F.col("coverage") >= settings.coverage) | (F.col("same") / F.col("windows") >= settings.verbatim)
+    rated = one.select("doc_id", "h1", "item_id", F.struct(held.alias("contaminated"), "coverage", "consistent", (-F.col("shift")).alias("early"), "matched", "windows", F.size("changed").cast("long").alias("slots")).alias("r"))
     best = rated.groupBy("doc_id", "h1", "item_id").agg(F.max("r").alias("r"))
-    share = F.col("r.matched") / F.col("r.windows")
-    return best.select(
-        "doc_id", "h1", "item_id", F.col("r.matched").alias("matched"), F.col("r.windows").alias("windows"), share.alias("coverage"),
-        F.col("r.slots").alias("slots"), F.col("r.consistent").alias("consistent"), (F.col("r.consistent") & (share >= settings.coverage)).alias("contaminated"),
-    )
+    return best.select("doc_id", "h1", "item_id", "r.matched", "r.windows", "r.coverage", "r.slots", "r.consistent", "r.contaminated")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_col: str = "text", id_col: str = "doc_id", **names: str) -> DataFrame:

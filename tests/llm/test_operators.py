@@ -305,6 +305,17 @@ def test_decontamination_of_shifted_items(spark):
     assert all(got[i]["contaminated"] for i in range(3)) and got[2]["coverage"] == 1.0
 
 
+def test_decontamination_with_conflicting_slots(spark):
+    item = "If 5 boys eat 5 apples in total then how many apples do 7 girls eat in the same time"
+    long = item + " when nobody else is at home and every one of them eats as fast as all of the others do on a day like that"
+    bench = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    texts = [item.replace("5 apples", "8 apples"), long.replace("5 boys", "6 boys").replace("5 apples", "8 apples"), "5 boys eat 5 apples in total then we left. " + prose(40, 8) + " " + long.replace("5 boys", "6 boys").replace("5 apples", "8 apples")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC)
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_items(df, bench).collect()}
+    assert got[0, 1]["contaminated"] and got[0, 1]["coverage"] == 1.0 and got[0, 1]["slots"] == 1
+    assert got[1, 2]["contaminated"] and got[2, 2]["contaminated"] and got[2, 2]["coverage"] == 1.0
+
+
 def test_sharding(docs, empty):
     limit = 3000
     got = sharding.assign(docs, limit, step=3).collect()
