@@ -6,7 +6,10 @@ template, in which the third part is variable. A line thus belongs to three temp
 differ in fields within one third, share at least one. Lines too short for that have one template, all their tokens.
 
 A template recurs if it occurs in ``min_texts`` different texts; for lines of fewer than ``long_tokens`` tokens, which may
-agree by chance, in ``min_short``. Lines under ``least_tokens`` tokens are never dropped. Of a recurring template the lines
+agree by chance, in ``min_short``. Lines under ``least_tokens`` tokens are never dropped on their own. Short lines inside a
+passage count as long: from each line on, and up to each line, the fewest consecutive lines of ``run_tokens`` tokens
+together are one more template if a short line is among them (blank lines count nothing), recurring from ``min_texts``
+texts on; all its lines are dropped. Of a recurring template the lines
 of the text with the least doc_id stay, all others are dropped, whatever share of a text they are. Exact copies of a text
 count as one text and are treated alike. A text that shares ``copy_share`` or more of its tokens with one text that keeps
 them is compared with it: at a Jaccard similarity of ``similarity`` of their sets of five-word shingles it is a near copy,
@@ -41,6 +44,7 @@ class Settings:
     min_short: int = 10
     copy_share: float = 0.5
     similarity: float = 0.8
+    run_tokens: int = 51
 
 
 _LAST = (1 << 63) - 1
@@ -60,6 +64,24 @@ def _templates(tokens: Column, s: Settings) -> Column:
     return F.when(n >= s.long_tokens, F.array(*pairs)).otherwise(F.array(F.xxhash64(F.lit(3), n, tokens)))
 
 
+def _runs(s: Settings) -> Column:
+    """For columns hashes and sizes (of a text's lines, 0 if blank): first line, key and sizes of each run of lines that
+    reaches run_tokens and has a short line."""
+    most = 2 * s.run_tokens  # lines looked at: blank ones are among them
+
+    def reached(sizes: Column, first) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("lines"))
+        step = lambda a, n: F.when(a.sum >= s.run_tokens, a).otherwise(F.struct((a.sum + n).alias("sum"), (a.lines + 1).alias("lines")))
+        return F.aggregate(sizes, start, step, lambda a: F.struct(a.sum.alias("sum"), first(a.lines).alias("first"), a.lines.alias("lines")))
+
+    ahead = F.transform("sizes", lambda _, i: reached(F.slice("sizes", i + 1, most), lambda n: i + n * 0))
+    back = F.transform("sizes", lambda _, i: reached(F.reverse(F.slice("sizes", F.greatest(i + 2 - most, F.lit(1)), F.least(i + 1, F.lit(most)))), lambda n: i + 1 - n))
+    of = lambda column, r: F.slice(column, r.first + 1, r.lines)
+    runs = F.filter(F.array_distinct(F.concat(ahead, back)), lambda r: (r.sum >= s.run_tokens) & (r.lines > 1) & F.exists(of("sizes", r), lambda n: (n > 0) & (n < s.long_tokens)))
+    blank = F.xxhash64(F.array(F.lit("")))
+    return F.transform(runs, lambda r: F.struct(r.first.alias("first"), F.xxhash64(F.lit(4), F.array_remove(of("hashes", r), blank)).alias("key"), of("sizes", r).alias("sizes")))
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -74,9 +96,19 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     )
     # the outer forms keep the optimiser from filtering on second copies of these expressions
     total = F.aggregate("lines", F.lit(0), lambda a, line: a + F.size(line))
-    rows = parsed.select("id", "h1", "h2", total.alias("total"), F.posexplode_outer("lines").alias("pos", "tokens"))
-    rows = rows.where(F.size("tokens") >= s.least_tokens)
-    rows = rows.select("id", "h1", "h2", "total", "pos", F.size("tokens").alias("n"), F.explode_outer(_templates(F.col("tokens"), s)).alias("key"))
+    hashed = parsed.withColumn("hashes", F.transform("lines", lambda line: F.xxhash64(line))).withColumn("sizes", F.transform("lines", lambda line: F.when((F.size(line) == 1) & (line[0] == ""), 0).otherwise(F.size(line))))
+    hashed = hashed.select("id", "h1", "h2", total.alias("total"), "lines", _runs(s).alias("runs"))
+    none = F.lit(None).cast("struct<first:int,key:bigint,sizes:array<int>>")
+    units = F.concat(
+        F.transform("lines", lambda line: F.struct(line.alias("tokens"), none.alias("run"))),
+        F.transform("runs", lambda r: F.struct(F.lit(None).cast("array<string>").alias("tokens"), r.alias("run"))),
+    )
+    rows = hashed.select("id", "h1", "h2", "total", F.posexplode_outer(units).alias("pos", "unit"))
+    rows = rows.select("id", "h1", "h2", "total", F.coalesce("unit.run.first", "pos").alias("pos"), F.col("unit.tokens").alias("tokens"), F.col("unit.run").alias("run"))
+    rows = rows.where(F.col("run").isNotNull() | (F.size("tokens") >= s.least_tokens))
+    keys = F.when(F.col("run").isNotNull(), F.array("run.key")).otherwise(_templates(F.col("tokens"), s))
+    n = F.when(F.col("run").isNotNull(), F.lit(s.run_tokens)).otherwise(F.size("tokens"))
+    rows = rows.select("id", "h1", "h2", "total", "pos", n.alias("n"), F.col("run.sizes").alias("sizes"), F.explode_outer(keys).alias("key"))
     table = written(rows)
 
     owner = F.min(F.struct("id", "h1", "h2")).alias("owner")
@@ -90,7 +122,8 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         found = _in_texts(long, s.min_texts)
     recurring = found.unionByName(_in_texts(short, s.min_short))
     met = table.join(recurring, "key").withColumn("other", (F.col("owner.h1") != F.col("h1")) | (F.col("owner.h2") != F.col("h2")))
-    met = met.where("other")
+    met = met.where("other").select("h1", "h2", "total", "owner", "pos", F.posexplode(F.coalesce("sizes", F.array("n"))).alias("next", "n"))
+    met = met.where("n > 0").withColumn("pos", F.col("pos") + F.col("next"))
     by_line = met.groupBy("h1", "h2", "pos").agg(F.first("n").alias("n"), F.first("total").alias("total"), F.collect_set(F.struct("owner.h1", "owner.h2")).alias("owners"))
     by_line = written(by_line)
     near = _near_copies(docs, by_line, text, s)

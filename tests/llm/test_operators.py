@@ -194,6 +194,14 @@ def test_line_dedup_of_large_shares(spark):
     assert got == {0: page[0], 1: prose(20, 311), 2: prose(20, 312), 3: near[0], 4: near[1]}
 
 
+def test_line_dedup_of_runs_of_short_lines(spark):
+    run = [" ".join(prose(4 + i % 4, 500 + i).split()) for i in range(12)] + ["Yes.", "", "The end."]
+    texts = ["\n".join([prose(120, 520 + i), *run, prose(120, 530 + i)]) for i in range(2)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(df).collect()}
+    assert got == {0: texts[0], 1: prose(120, 521) + "\n\n" + prose(120, 531)}
+
+
 def test_html():
     page = "<html><head><title>t</title><style>p{}</style></head><body><h1>A &amp; b<p>one<p>two <b>bold</b>  x<ul><li>i<li>j<ol><li>k</ol></ul><table><tr><td>aa<td>b<tr><td>c<td>d</table><p hidden>no<script>var t='</p>';</script><div style='display: none'>no</div><pre> x\n  y</pre>1 < 2"
     assert html_text.visible_text(page) == "A & b\n\none\n\ntwo bold x\n\n- i\n- j\n  1. k\n\naa  b\nc   d\n\n x\n  y\n\n1 < 2"
