@@ -10,7 +10,7 @@ Two searches share the trees:
   such fingerprints agree in one block at least, so one tree for each block and value finds every link.
 * ``near_duplicates``: texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Trees are sharded
   by ``anchors`` min-hash values (two texts of similarity s share a shard with probability 1 - (1 - s)**anchors, 99.8 %
-  at 0.8 and 4), searched with a wide radius, and each link found is confirmed on the whole shingle sets.
+  at 0.8 and 4), searched with a wide radius of fingerprints that count each distinct shingle once, and each link found is confirmed on the whole shingle sets.
 
 The trees are not broadcast: all of them together grow with the corpus, so each is built where its shard lives, from rows
 dealt by shard. Equal fingerprints (or equal texts) are one node. A shard with over ``block_rows`` nodes is cut into
@@ -207,7 +207,7 @@ def _signatures(docs: DataFrame, k: int, anchors: int, text_col: str, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [shingle_hashes(words_of(t), k) for t in batch.column(2).to_pylist()]
-            prints = pa.array([fingerprint(h) for h in hashes], pa.int64())
+            prints = pa.array([fingerprint(np.unique(h)) for h in hashes], pa.int64())
             mins = pa.array([anchors_of(h, anchors) if len(h) else [] for h in hashes], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, mins], ["doc_id", "cls", "fp", "anchors"])
 

@@ -173,6 +173,15 @@ def test_near_duplicates(spark, empty, block_rows):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_near_duplicates_with_other_repeat_counts(spark):
+    def text(seed, times):
+        lines = [prose(9, 700 + 40 * seed + i) for i in range(20)]
+        return " ".join(lines + lines[:1] * times)
+
+    df = spark.createDataFrame([(2 * i + j, text(i, times), None, None, None) for i in range(6) for j, times in enumerate((2, 60))], DOC)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [0, 2, 4, 6, 8, 10]
+
+
 def test_line_dedup(spark, empty):
     shared = "Order 17 of the weekly letter was sent to all our readers today"
     texts = [prose(90, i) + "\n" + shared.replace("17", str(i)) + "\nAll rights reserved." for i in range(6)] + [prose(90, 50), None, "", prose(90, 50)]
