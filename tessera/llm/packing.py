@@ -9,10 +9,12 @@ With p the places, cost(j) = min over i of cost(i) + p(i) + size - p(j) + penalt
 cost(i) + p(i) of a sliding window, kept in a monotone queue, so each place enters and leaves once. A window whose length is
 a power of two (from ``least_short``) needs no padding and is tried beside it.
 
-A partition is packed in blocks of ``block_tokens``; the last, open window of a block is carried into the next one, so only
-the end of a partition is left with a short window. One pass, no shuffle, bounded memory.
+A partition is packed in blocks of ``block_tokens``, each by an optimal choice of cuts; the last, open window of a block is
+carried into the next one, so only the end of a partition is left with a short window. One pass, no shuffle, bounded memory:
+texts are encoded some megabytes at a time, and the words remembered between them take ``cache_bytes`` at most.
 
-Defined cases: a null text is empty and is its end id alone; repeated rows are packed each; an empty table has no pieces.
+Defined cases: a null text is empty and is its end id alone; a null doc_id is packed like others; special tokens written in
+a text become their ids, as in the tokenizer's plain call; repeated rows are packed each; an empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -143,30 +145,40 @@ def _ranked(config: dict) -> Callable[[str], list[int]] | None:
     return tiktoken.Encoding("ranked", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+#: About what a remembered word takes besides its characters.
+_ENTRY = 200
+
+
 class Encoder:
     """Encodes texts with a byte-level BPE tokenizer, remembering the ids of words.
 
     Its pre-tokenizer always parts a character that is no white space from a following white space, and white space from a
     following space and word. So the ids of a usual text are those of its words with the one space or line feed before each.
     Texts with longer stretches of white space are cut only before a stretch; a text with white space other than spaces and
-    line feeds is encoded in one piece. Words of Latin script go through the merges as ranks, others through the tokenizer.
+    line feeds, or with an added token, is encoded in one piece. Words of Latin script go through the merges as ranks, others
+    through the tokenizer.
+
+    Words met first are remembered until they take ``cache_bytes``; long ones never. After ``renew`` more calls the memory
+    starts anew, so that it follows a change of language.
     """
 
+    longest, renew = 48, 64
+
     _parts = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
     _other_space = re.compile(r"[^\S \n]").search
     _latin_word = re.compile("[ \n]?[!-~\u00a1-\u024f]*").fullmatch
     _unusual = r"  | \n|\n\n\n|\n\n |\n\n\z|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     _cut = "\x1f"  # in no usual text
 
-    def __init__(self, path: str, end_id: int, most: int = 1_200_000) -> None:
+    def __init__(self, path: str, end_id: int, cache_bytes: int = 32 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as file:
             self.ranked = _ranked(json.load(file))
-        self.end_id, self.most = end_id, most
+        self.end_id, self.cache_bytes = end_id, cache_bytes
         self._clear()
         size = self.tokenizer.get_vocab_size()
         self.ends_sentence = np.zeros(size, bool)
@@ -178,10 +190,13 @@ class Encoder:
         self.numbers = _Numbers()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.cached = self.calls = 0
+
+    def _has_added(self, text: str) -> bool:
+        return any(token in text for token in self.added)
 
     def _word(self, word: str) -> list[int]:
-        if self.ranked and self._latin_word(word):
+        if self.ranked and self._latin_word(word) and not self._has_added(word):
             return self.ranked(word)
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
@@ -193,7 +208,10 @@ class Encoder:
     def _words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The words of all texts, in order, and the text of each."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        odd = np.flatnonzero(pc.match_substring_regex(texts, self._unusual).to_numpy(zero_copy_only=False))
+        unusual = pc.match_substring_regex(texts, self._unusual)
+        for token in self.added:  # a handful
+            unusual = pc.or_(unusual, pc.match_substring(texts, token))
+        odd = np.flatnonzero(unusual.to_numpy(zero_copy_only=False))
         marked = texts
         if len(odd):
             mask = np.zeros(len(texts), bool)
@@ -204,7 +222,7 @@ class Encoder:
         lists = pc.split_pattern(marked, self._cut)
         words, owner = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
         if len(odd):
-            parts = [[t] if self._other_space(t) else self._parts(t) for t in texts.take(pa.array(odd)).to_pylist()]
+            parts = [[t] if self._other_space(t) or self._has_added(t) else self._parts(t) for t in texts.take(pa.array(odd)).to_pylist()]
             words = pa.concat_arrays([words, pa.array(list(chain.from_iterable(parts)), words.type)])
             owner = np.concatenate([owner, np.repeat(odd, [len(p) for p in parts])])
             order = np.argsort(owner, kind="stable")
@@ -226,9 +244,15 @@ class Encoder:
         coded = words.dictionary_encode()
         names = coded.dictionary.to_pylist()
         known, used = len(self.numbers), self.used
-        number = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))
+        short = [w for w in names if len(w) <= self.longest]
+        number = np.empty(len(names), np.int64)
+        is_short = np.fromiter((len(w) <= self.longest for w in names), bool, len(names))
+        number[is_short] = np.fromiter(map(self.numbers.__getitem__, short), np.int64, len(short))
         new, self.numbers.new = self.numbers.new, []
         self._learn(new, known)
+        after, first_long = self.used, known + len(new)
+        number[~is_short] = first_long + np.arange(len(names) - len(short))
+        self._learn([w for w in names if len(w) > self.longest], first_long)
         number = number[coded.indices.to_numpy()]
         lengths = self.starts[number + 1] - self.starts[number]
         counts = np.bincount(owner, lengths, len(texts)).astype(np.int64) + 1
@@ -238,13 +262,16 @@ class Encoder:
         inner = np.ones(len(out), bool)
         inner[np.cumsum(counts) - 1] = False
         out[inner] = self.flat[at]
-        if len(self.numbers) > self.most:  # the first words met are the frequent ones: they stay, the new ones go
-            for w in new:
-                del self.numbers[w]
-            if known > self.most:
-                self._clear()
-            else:
-                self.used = used
+        size = self.cached + sum(map(len, new)) + _ENTRY * len(new)
+        if size <= self.cache_bytes:
+            self.cached, self.used = size, after
+            return out, counts
+        for w in new:  # the first words met are mostly the frequent ones: they stay, the new ones go
+            del self.numbers[w]
+        self.used = used
+        self.calls += 1
+        if self.calls > self.renew:
+            self._clear()
         return out, counts
 
 

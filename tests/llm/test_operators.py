@@ -1,8 +1,10 @@
 """The training-data operators against plain versions on small tables, with nulls, copies, long texts and clashing names."""
 
+import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -84,16 +86,40 @@ def test_fingerprints(docs, empty, bits):
     assert fingerprints.fingerprints(empty).count() == 0 and fingerprints.against_next(empty).count() == 0
 
 
-def test_edited_texts(spark):
-    rows = [(i, t, None, None, None) for i, t in enumerate(TEXTS)]
-    got = {r["doc_id"]: r for r in fingerprints.against_next(spark.createDataFrame(rows, DOC).repartition(5)).collect()}
-    for i, t in enumerate(TEXTS):
-        t, following = t or "", TEXTS[i - 1] or ""
-        k = len(t) // 3
-        import hashlib
+def plain_canonical(t):
+    """Upper and lower case, widths, ligatures and white space alike: an independent form of the same equality."""
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold())).strip()
+
 
-        assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + following[:k]).encode()).hexdigest()
-        assert got[i]["n_chars"] == len(t) and got[i]["near_next"] == float(fingerprints.canonical(t) == fingerprints.canonical(following))
+@pytest.mark.parametrize("bits", [128, 4])
+def test_edited_texts(spark, bits):
+    special = ["Stra\u00dfe \ufb01n", "STRASSE  fin", "\u2460 x", "1\tX", "same " * 9, "same " * 9, "SAME " * 9, "a", "", None, " "]
+    texts = TEXTS + special
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in fingerprints.against_next(spark.createDataFrame(rows, DOC).repartition(5), bits=bits).collect()}
+    assert len(got) == len(texts)
+    by = {}
+    for i, t in enumerate(texts):
+        t, following = t or "", texts[i - 1] or ""
+        k = len(t) // 3
+        changed = t[: len(t) - k] + following[:k]
+        own, other, after = map(plain_canonical, (t, changed, following))
+        assert got[i]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest() and got[i]["n_chars"] == len(t)
+        assert got[i]["near_next"] == float(own == after) and got[i]["near_edited"] == float(own == other)
+        by.setdefault(own, set()).add(got[i]["fingerprint"])
+        by.setdefault(other, set()).add(got[i]["edited_fingerprint"])
+    assert all(len(marks) == 1 for marks in by.values()) and len(set.union(*by.values())) == len(by)
+    assert any(r["near_edited"] == 1 and r["n_chars"] > 9 for r in got.values())
+
+
+def test_edited_texts_of_odd_rows(spark):
+    rows = [(None, "no id one"), (None, "no id two"), (4, "four four four"), (4, "four four four"), (9, None), (-3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "text as fingerprint", "'x' as t")
+    got = fingerprints.against_next(df).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+    assert {r["near_next"] for r in got if r["doc_id"] == 4} == {0.0, 1.0}  # the copy, then the empty text of -3
+    one = fingerprints.against_next(df.where("doc_id = 9")).collect()
+    assert len(one) == 1 and one[0]["near_next"] == one[0]["near_edited"] == 1.0
 
 
 @pytest.mark.parametrize("chunk", [1 << 21, 100])
@@ -314,15 +340,15 @@ def test_encoder_gives_the_tokenizers_ids():
 
     path = queries.tokenizer_path()
     reference = Tokenizer.from_file(path)
-    reference.encode_special_tokens = True
-    coder = packing.Encoder(path, 0, most=300)
-    assert coder.ranked
+    coder = packing.Encoder(path, 0, cache_bytes=60_000)
+    coder.renew = 3
+    assert coder.ranked and coder.added == ["<|endoftext|>"]
     pieces = ["word", "it's", "'ll", "x1,y;", "3.14", "größe", "é", "漢字", "привет", "🙂", "<|endoftext|>", "\x1f", "\x00", "'", "a\u0301", "\u00ad"]
     spaces = [" ", "\n", "  ", "\n\n", " \n", "\n ", "\t", "\u00a0", "\u2028", "\r\n", "\n\n\n", "\n \n", "   ", ""]
     chance = random.Random(7)
     usual = ["".join(chance.choice(pieces) + chance.choice([" ", " ", "\n"]) for _ in range(chance.randrange(9))) for _ in range(300)]
     mixed = ["".join(chance.choice(spaces) + chance.choice(pieces + spaces) for _ in range(chance.randrange(9))) for _ in range(1500)]
-    texts = [None, "", " ", "\n", *usual, *mixed]
+    texts = [None, "", " ", "\n", "<|endoftext|>", "hello <|endoftext|> x", "a<|endoftext|>b", "wide " * 40 + "\t" + "word " * 40, "x" * 5000, *usual, *mixed]
     for plain in (False, True):
         for at in range(0, len(texts), 90):
             part = texts[at : at + 90]
