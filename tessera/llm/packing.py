@@ -11,7 +11,7 @@ a power of two (from ``least_short``) needs no padding and is tried beside it.
 
 A partition is packed in blocks of ``block_tokens``, each by an optimal choice of cuts; the last, open window of a block is
 carried into the next one, so only the end of a partition is left with a short window. One pass, no shuffle, bounded memory:
-texts are encoded some megabytes at a time, and the words remembered between them take ``cache_bytes`` at most.
+texts are encoded some megabytes at a time, and nothing is remembered between them.
 
 Defined cases: a null text is empty and is its end id alone; a null doc_id is packed like others; special tokens written in
 a text become their ids, as in the tokenizer's plain call; repeated rows are packed each; an empty table has no pieces.
@@ -101,19 +101,6 @@ def places_of(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, s: Se
 # --- encoding ----------------------------------------------------------------------------------------------------------
 
 
-class _Numbers(dict):
-    """Numbers words as they are first asked for, and lists those in ``new``."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
-
-
 #: The byte-level pre-tokenizer's pattern.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -125,8 +112,9 @@ def _visible_bytes() -> dict[str, int]:
     return {chr(b): b for b in as_is} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def _ranked(config: dict) -> Callable[[str], list[int]] | None:
-    """The same byte-level merges as ranks, which encode a word several times faster; None for other kinds of tokenizer.
+def _ranked(config: dict) -> tuple[Callable[[str], list[int]], np.ndarray] | tuple[None, None]:
+    """The same byte-level merges as ranks, which encode a word several times faster, and each id's bytes; None for other
+    kinds of tokenizer.
 
     Needs what makes ranks equal to merges: ids that ascend with the merges, and no normaliser, prefix or dropout.
     """
@@ -134,83 +122,93 @@ def _ranked(config: dict) -> Callable[[str], list[int]] | None:
     plain = model["type"] == "BPE" and config["normalizer"] is None and before.get("type") == "ByteLevel"
     plain = plain and before.get("use_regex", True) and not before.get("add_prefix_space")
     if not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
-        return None
+        return None, None
     made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
     if any(a >= b for a, b in zip(made, made[1:])) or len(model["vocab"]) != len(made) + 256:
-        return None
+        return None, None
     import tiktoken
 
     table = _visible_bytes()
     ranks = {bytes(map(table.__getitem__, piece)): i for piece, i in model["vocab"].items()}
-    return tiktoken.Encoding("ranked", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-
-#: About what a remembered word takes besides its characters.
-_ENTRY = 200
+    encode = tiktoken.Encoding("ranked", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return encode, np.array([len(b) for b in sorted(ranks, key=ranks.__getitem__)])
 
 
 class Encoder:
-    """Encodes texts with a byte-level BPE tokenizer, remembering the ids of words.
+    """Encodes texts with a byte-level BPE tokenizer, some megabytes at a time; each word among them is encoded once.
 
     Its pre-tokenizer always parts a character that is no white space from a following white space, and white space from a
     following space and word. So the ids of a usual text are those of its words with the one space or line feed before each.
     Texts with longer stretches of white space are cut only before a stretch; a text with white space other than spaces and
     line feeds, or with an added token, is encoded in one piece. Words of Latin script go through the merges as ranks, others
     through the tokenizer.
-
-    Words met first are remembered until they take ``cache_bytes``; long ones never. After ``renew`` more calls the memory
-    starts anew, so that it follows a change of language.
     """
 
-    longest, renew = 48, 64
-
     _parts = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
     _other_space = re.compile(r"[^\S \n]").search
     _latin_word = re.compile("[ \n]?[!-~\u00a1-\u024f]*").fullmatch
+    _joins = r"\A[ \n][!-~\x{a1}-\x{24f}]+\z"
     _unusual = r"  | \n|\n\n\n|\n\n |\n\n\z|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     _cut = "\x1f"  # in no usual text
 
-    def __init__(self, path: str, end_id: int, cache_bytes: int = 32 << 20) -> None:
+    def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as file:
-            self.ranked = _ranked(json.load(file))
-        self.end_id, self.cache_bytes = end_id, cache_bytes
-        self._clear()
+            self.ranked, self.id_bytes = _ranked(json.load(file))
+        self.end_id = end_id
         size = self.tokenizer.get_vocab_size()
         self.ends_sentence = np.zeros(size, bool)
         for i in range(size):
             piece = self.tokenizer.decode([i])
             self.ends_sentence[i] = "\n" in piece or piece.rstrip("\"')]").endswith((".", "!", "?", "。"))
 
-    def _clear(self) -> None:
-        self.numbers = _Numbers()
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.used = self.cached = self.calls = 0
-
     def _has_added(self, text: str) -> bool:
         return any(token in text for token in self.added)
 
-    def _word(self, word: str) -> list[int]:
-        if self.ranked and self._latin_word(word) and not self._has_added(word):
-            return self.ranked(word)
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def _learn(self, words: list[str], first: int) -> None:
-        """The ids of words numbered from ``first``."""
-        made = [self._word(w) for w in words]
-        self._add(first, list(chain.from_iterable(made)), np.fromiter(map(len, made), np.int64, len(made)))
+    def _any_added(self, texts: pa.Array) -> pa.Array:
+        found = pa.nulls(len(texts), pa.bool_()).fill_null(False)
+        for token in self.added:  # a handful
+            found = pc.or_(found, pc.match_substring(texts, token))
+        return found
+
+    def _alone(self, words: list[str]) -> list[list[int]]:
+        """The ids of words that are encoded each on its own."""
+        latin = [bool(self.ranked and self._latin_word(w) and not self._has_added(w)) for w in words]
+        others = iter(self.tokenizer.encode_batch_fast([w for w, x in zip(words, latin) if not x], add_special_tokens=False))
+        return [self.ranked(w) if x else next(others).ids for w, x in zip(words, latin)]
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words, and how many each has. Latin words that start with a space or line feed are encoded in
+        one call: such a start always begins a new piece, and the bytes of the ids tell where each word ends."""
+        joined = np.zeros(len(words), bool)
+        if self.ranked:
+            joined = pc.and_not(pc.match_substring_regex(words, self._joins), self._any_added(words)).to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(words), np.int64)
+        ids = np.zeros(0, np.uint32)
+        if joined.any():
+            some = words.filter(pa.array(joined))
+            ids = np.array(self.ranked("".join(some.to_pylist())), np.uint32)
+            stops, ends = np.cumsum(self.id_bytes[ids]), np.cumsum(pc.binary_length(some).to_numpy())
+            upto = np.searchsorted(stops, ends)
+            if not (stops[upto] == ends).all():
+                raise ValueError("words were not encoded one by one")
+            counts[joined] = np.diff(upto + 1, prepend=0)
+        alone = self._alone(words.filter(pa.array(~joined)).to_pylist())
+        counts[~joined] = [len(x) for x in alone]
+        out = np.empty(int(counts.sum()), np.uint32)
+        of_joined = np.repeat(joined, counts)
+        out[of_joined] = ids
+        out[~of_joined] = list(chain.from_iterable(alone))
+        return out, counts
 
     def _words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The words of all texts, in order, and the text of each."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        unusual = pc.match_substring_regex(texts, self._unusual)
-        for token in self.added:  # a handful
-            unusual = pc.or_(unusual, pc.match_substring(texts, token))
+        unusual = pc.or_(pc.match_substring_regex(texts, self._unusual), self._any_added(texts))
         odd = np.flatnonzero(unusual.to_numpy(zero_copy_only=False))
         marked = texts
         if len(odd):
@@ -229,49 +227,19 @@ class Encoder:
             words, owner = words.take(pa.array(order)), owner[order]
         return words, owner
 
-    def _add(self, first: int, ids: list[int], counts: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        while first + len(counts) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.starts[first + 1 : first + len(counts) + 1] = self.used + np.cumsum(counts)
-        self.used += len(ids)
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's end id included, and the ids of each text."""
         words, owner = self._words(texts)
         coded = words.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        known, used = len(self.numbers), self.used
-        short = [w for w in names if len(w) <= self.longest]
-        number = np.empty(len(names), np.int64)
-        is_short = np.fromiter((len(w) <= self.longest for w in names), bool, len(names))
-        number[is_short] = np.fromiter(map(self.numbers.__getitem__, short), np.int64, len(short))
-        new, self.numbers.new = self.numbers.new, []
-        self._learn(new, known)
-        after, first_long = self.used, known + len(new)
-        number[~is_short] = first_long + np.arange(len(names) - len(short))
-        self._learn([w for w in names if len(w) > self.longest], first_long)
-        number = number[coded.indices.to_numpy()]
-        lengths = self.starts[number + 1] - self.starts[number]
+        flat, sizes = self._ids(coded.dictionary)
+        number = coded.indices.to_numpy()
+        lengths = sizes[number]
         counts = np.bincount(owner, lengths, len(texts)).astype(np.int64) + 1
-        total = int(lengths.sum())
-        at = np.arange(total) + np.repeat(self.starts[number] - (np.cumsum(lengths) - lengths), lengths)
+        at = np.arange(int(lengths.sum())) + np.repeat((np.cumsum(sizes) - sizes)[number] - (np.cumsum(lengths) - lengths), lengths)
         out = np.full(int(counts.sum()), self.end_id, np.uint32)
         inner = np.ones(len(out), bool)
         inner[np.cumsum(counts) - 1] = False
-        out[inner] = self.flat[at]
-        size = self.cached + sum(map(len, new)) + _ENTRY * len(new)
-        if size <= self.cache_bytes:
-            self.cached, self.used = size, after
-            return out, counts
-        for w in new:  # the first words met are mostly the frequent ones: they stay, the new ones go
-            del self.numbers[w]
-        self.used = used
-        self.calls += 1
-        if self.calls > self.renew:
-            self._clear()
+        out[inner] = flat[at]
         return out, counts
 
 
@@ -285,7 +253,7 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _encoders[path, end_id]
 
 
-def _groups(texts: pa.Array, most: int = 1 << 21) -> Iterator[slice]:
+def _groups(texts: pa.Array, most: int = 1 << 22) -> Iterator[slice]:
     """Slices of texts with about so many bytes."""
     start, size = 0, 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):

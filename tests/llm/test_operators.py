@@ -66,6 +66,41 @@ def test_bk_forest():
     assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i in range(len(prints)) for j in range(len(prints)) if bin(int(prints[i]) ^ int(prints[j])).count("1") <= 3}
 
 
+def test_language_sample_is_of_whole_texts(spark):
+    rows = [(i, f"alpha beta gamma {i} " * 3, "a", None, None) for i in range(300)] + [(900, "delta " * 5000, "a", None, None), (901, "omega " * 300, "b", None, None), (902, "omega " * 300, "b", None, None), (903, "12", "c", None, None)]
+    model = langid.train(spark.createDataFrame(rows, DOC), dictionary_bytes=4096)
+    assert model.languages == ("a", "b") and model.dictionaries[1] == ("omega " * 300).encode()  # equal texts are one
+    assert b"delta" not in model.dictionaries[0] and 3000 < len(model.dictionaries[0]) <= 4096 + 96
+    assert model.dictionaries[0].count(b"alpha") == model.dictionaries[0].count(b"gamma") == 3 * round(model.dictionaries[0].count(b"alpha") / 3)
+
+
+def test_language_of_odd_rows(spark):
+    """One rule at every length: the fewest bytes over blocks, as a plain loop over the dictionaries finds them."""
+    import zstandard
+
+    chance = random.Random(4)
+    words = {g: ["".join(chance.choice(letters) for _ in range(chance.randrange(2, 7))) for _ in range(60)] for g, letters in (("x", "abcdefg"), ("y", "efghijk"), ("z", "mnopqrs"))}
+    make = lambda g, n: " ".join(chance.choice(words[g]) for _ in range(n))
+    model = langid.train(spark.createDataFrame([(i, make(g, 80), g, None, None) for i, g in enumerate("xyz" * 20)], DOC))
+    asked = [make(chance.choice("xyz"), n) for n in (1, 2, 5, 20, 80, 90, 170, 180, 400, 9000)] + [None, "", "1 2 3", "é", "same", "same", "\n" * 9]
+    df = spark.createDataFrame([(i, t, "x", "c", 1) for i, t in enumerate(asked)], DOC).withColumnRenamed("lang", "score").withColumnRenamed("cls", "rejected")
+    got = {r["doc_id"]: r for r in langid.identify(df, model).collect()}
+    for i, t in enumerate(asked):
+        if not t or not any(c.isalpha() for c in t):
+            assert got[i]["lang_pred"] == "und" and got[i]["rejected"] and got[i]["score"] == 0
+            continue
+        data = langid.canonical(t)
+        sizes = []
+        for d in model.dictionaries:
+            of = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(level=model.level, dict_data=of, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(coder.compress(data[k : k + model.block_bytes])) for k in range(0, len(data), model.block_bytes)))
+        assert got[i]["lang_pred"] == model.languages[sizes.index(min(sizes))] and 0 <= got[i]["score"] <= 1
+        assert got[i]["rejected"] == ((sorted(sizes)[1] - min(sizes)) / len(data) < model.min_margin)
+    assert langid.keep_identified(df, model).columns == df.columns
+    assert len({got[i]["lang_pred"] for i in (14, 15)}) == 1
+
+
 def test_language(spark, docs, empty):
     rows = [(i, ("the cat and the dog " if i % 2 else "der Hund und die Katze ") * 3, "en" if i % 2 else "de", None, None) for i in range(30)]
     model = langid.train(spark.createDataFrame(rows, DOC))
@@ -168,6 +203,30 @@ def test_urls(spark):
     assert by[1]["host"] == "example.net" and by[8]["host"] == by[8]["path"] == "" and by[6]["path"] == ""
 
 
+def test_urls_against_sql_with_odd_rows(spark):
+    """The query's SQL, on line feeds, control characters, clashing names, ties and an empty table."""
+    import duckdb
+
+    urls = ["http://a\nb.net/x", "x\ny://a.net/\nq?z", "://", "http://net", "http://net/", "http://.net/", "http://anet/", "HTTP://SUB.EXAMPLE.COM/de/\t", "http://x.org\n/fr/", "a://b://c.net/", "http://ads.\nx/", "http://x/wp-login.php", "http://x/wp-login.phpx", "http://b-ads.example.net/en/", "", None, "http://a.net/x#y/en/", "http://example.net/enx"]
+    chance = random.Random(3)
+    urls += ["".join(chance.choice(["http", "://", ".", "net", "example", "com", "org", "/", "de", "fr", "en", "/", "?", "#", "\n", "ads", "cgi-bin", "Net", " "]) for _ in range(chance.randrange(14))) for _ in range(600)]
+    rows = [(i, u, "block", "h", 1) for i, u in enumerate([*urls, *urls[:3]])]
+    schema = "page_id long, url string, verdict string, host string, _no int"
+    pages = spark.createDataFrame(rows, schema)
+    got = sorted(tuple(map(str, (r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]))) for r in url_filter.judge(pages).collect())
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    duck.executemany("INSERT INTO pages VALUES (?, ?)", [r[:2] for r in rows])
+    want = sorted(tuple(map(str, r)) for r in duck.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.ORACLE_SQL['op4_url_filter']})").fetchall())
+    assert got == want
+    by = {int(r[0]): r for r in got}
+    assert by[0][3:] == ("net/", "block") and by[1][2] == "/\nq"
+    assert url_filter.judge(spark.createDataFrame([], schema)).count() == 0
+    twice = (url_filter.Rule("block", "b.c", "/aa"), url_filter.Rule("allow", "c", "/aaaa"), url_filter.Rule("allow", "b.c", "/a'\\\\"))
+    tied = url_filter.judge(spark.createDataFrame([(1, "http://b.c/aaaa"), (2, "http://b.c/a'\\\\x")], "page_id long, url string"), twice, ())
+    assert {r["page_id"]: r["rule"] for r in tied.collect()} == {1: "b.c/aa", 2: "b.c/a'\\\\"}
+
+
 def test_simhash_links(docs, empty):
     got = simhash.near_fingerprints(docs).collect()
     prints = {}
@@ -335,13 +394,76 @@ def test_html():
     assert html_text.visible_text(None) == "" and html_text.visible_text("<div>" * 5000 + "deep") == "deep"
 
 
+def plain_rendering(tree):
+    """Text of a random tree (tag, shown, children) by another way: a flat list of words and breaks, folded at the end."""
+    events = []
+
+    def walk(node, shown):
+        tag, style, children = node
+        if style == "display:none":
+            return
+        shown = {"visibility:hidden": False, "visibility: visible": True}.get(style, shown)
+        gap = {"div": 1, "p": 2, "h2": 2}.get(tag, 0)
+        if gap:
+            events.append(gap)
+        for child in children:
+            if isinstance(child, str):
+                events.extend(child.split() if shown else [])
+            else:
+                walk(child, shown)
+        if gap:
+            events.append(gap)
+
+    walk(tree, True)
+    out, wait = "", 0
+    for e in events:
+        if isinstance(e, int):
+            wait = max(wait, e)
+        else:
+            out += ("\n" * wait if wait else " ") + e if out else e
+            wait = 0
+    return out
+
+
+def test_html_against_a_plain_rendering():
+    chance = random.Random(11)
+
+    def made(depth, inside_p):
+        tag = chance.choice(["span", "b", "em"] + ([] if inside_p else ["div", "p", "h2"]))
+        style = chance.choice([None] * 6 + ["display:none", "visibility:hidden", "visibility: visible"])
+        children = [f" {chance.choice(VOCABULARY)} {chance.choice(VOCABULARY)} " if depth == 0 or chance.random() < 0.4 else made(depth - 1, inside_p or tag in ("p", "h2", "span", "b", "em")) for _ in range(chance.randrange(4))]
+        return tag, style, children
+
+    def html(node):
+        if isinstance(node, str):
+            return node
+        tag, style, children = node
+        return f"<{tag}{f' style=\"{style}\"' if style else ''}>{''.join(map(html, children))}</{tag}>"
+
+    trees = [("div", None, [made(4, False) for _ in range(5)]) for _ in range(300)]
+    for tree in trees:
+        assert html_text.visible_text(html(tree)) == plain_rendering(tree)
+    assert sum(bool(plain_rendering(t)) for t in trees) > 200
+
+
+def test_html_pages(spark):
+    wide = "<table>" + "<tr><td>" + "x" * 20000 + "<td>end</tr>" + "<tr><td>a<td>b</tr>" * 1000 + "</table>"
+    spans = "<table>" + "<tr><td colspan=1000 rowspan=1000>a<td colspan=1000>b</tr>" * 300 + "</table>"
+    pages = ["<div style='visibility:hidden'>no<p style='visibility:visible'>yes</p>no<ul><li>no</ul></div>tail", None, "", wide, spans, "<p>same", "<p>same", "<table><tr><td>aaaa<td>b<tr><td>c<td>d</table>", "<blockquote>" * 300 + "deep"]
+    df = spark.createDataFrame([(i, "u", h, "t") for i, h in enumerate(pages)] + [(None, "u", "null id", "t")], "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got[0] == "yes\n\ntail" and got[1] == got[2] == "" and got[5] == got[6] == "same" and got[None] == "null id"
+    assert got[3].split("\n")[:2] == ["x" * 20000 + "  end", "a  b"] and len(got[3]) < 2 * len(wide) and len(got[4]) < 4 * len(spans)
+    assert got[7] == "aaaa  b\nc     d" and got[8].endswith("deep")
+    assert html_text.extract(df.where("false")).count() == 0
+
+
 def test_encoder_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
     reference = Tokenizer.from_file(path)
-    coder = packing.Encoder(path, 0, cache_bytes=60_000)
-    coder.renew = 3
+    coder = packing.Encoder(path, 0)
     assert coder.ranked and coder.added == ["<|endoftext|>"]
     pieces = ["word", "it's", "'ll", "x1,y;", "3.14", "größe", "é", "漢字", "привет", "🙂", "<|endoftext|>", "\x1f", "\x00", "'", "a\u0301", "\u00ad"]
     spaces = [" ", "\n", "  ", "\n\n", " \n", "\n ", "\t", "\u00a0", "\u2028", "\r\n", "\n\n\n", "\n \n", "   ", ""]
@@ -451,6 +573,15 @@ def test_decontamination_with_conflicting_slots(spark):
     assert got[1, 2]["contaminated"] and got[2, 2]["contaminated"] and got[2, 2]["coverage"] == 1.0
 
 
+def test_decontamination_by_very_short_items(spark):
+    bench = spark.createDataFrame([(1, "Blue Whale"), (2, "12,000"), (3, "one two three four"), (4, "Yes!"), (5, " . ")], "item_id long, text string")
+    texts = ["blue   whale.", "The blue whale swims", "12 000", "12 000 men", "yes", "He said yes to one two three four of them", "!", None, "Yes? No"]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate([*texts, texts[0]])], DOC)
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_items(df, bench).where("contaminated").collect())
+    assert got == [(0, 1), (2, 2), (4, 4), (5, 3), (9, 1)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()) == [1, 3, 6, 7, 8]
+
+
 def test_sharding(docs, empty):
     limit = 3000
     got = sharding.assign(docs, limit, step=3).collect()
