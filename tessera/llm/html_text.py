@@ -4,9 +4,16 @@ A tokenizer feeds a tree builder that knows void elements, raw-text elements and
 visibility rules. Blocks start on their own line, blocks with margins are parted by an empty line, list items carry their
 marker and depth, preformatted text keeps its spaces, and the cells of a table are aligned in columns.
 
+Visibility: what is not displayed (by its element, ``hidden``, or ``display`` in its ``style`` attribute) goes with all that
+it holds; ``visibility`` is inherited and may be set visible again further in. Rules of style sheets are not applied.
+
+The text's length is linear in the page's: a cell is aligned by at most ``MAX_PAD`` spaces, and where its column starts further
+right than that (a wide cell stands in an earlier column of other rows) it follows the cell before it; columns from
+``MAX_COLUMNS`` on are not aligned.
+
 Defined cases: a null page gives an empty text; unclosed and unmatched tags are repaired; ``<`` that starts no tag is text;
 nesting deeper than ``MAX_DEPTH`` is flattened without losing text; repeated rows are rendered each; an empty table gives
-an empty result.
+an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import short_batches
 
 MAX_DEPTH = 200
+MAX_PAD = 60
+MAX_COLUMNS = 1000
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,7 +62,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDES = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
 class Node:
@@ -83,6 +93,31 @@ class Node:
             return True
         return "style" in lower and bool(_HIDES.search(self.get("style") or ""))
 
+    def visibility(self) -> bool | None:
+        """Whether its own style makes it visible; None if it inherits."""
+        if "visibility" not in self.attributes.lower():
+            return None
+        found = _VISIBILITY.findall(self.get("style") or "")
+        return found[-1].lower() == "visible" if found else None
+
+
+def without_invisible(node: Node, visible: bool = True) -> Node | None:
+    """The tree without the text whose inherited visibility is hidden. Of a hidden element without visible content its place
+    between blocks is left, or None."""
+    own = node.visibility()
+    visible = visible if own is None else own
+    out = Node(node.tag, node.attributes)
+    for child in node.children:
+        if isinstance(child, str):
+            kept = child if visible else None
+        else:
+            kept = without_invisible(child, visible)
+        if kept is not None:
+            out.children.append(kept)
+    if visible or out.children:
+        return out
+    return Node("p" if node.tag in SPACED else "div") if node.tag in BLOCK else None
+
 
 def parse(html: str) -> Node:
     """The tree of a page."""
@@ -336,10 +371,10 @@ def _table(node: Node) -> list[str]:
                 column += 1
             lines = _inner(cell)
             across, down = (_span(cell.get(name)) for name in ("colspan", "rowspan"))
-            cells.append((column, lines))
-            if across == 1:
+            cells.append((min(column, MAX_COLUMNS), lines))
+            if across == 1 and column < MAX_COLUMNS:
                 widths[column] = max(widths.get(column, 0), *map(len, lines or [""]))
-            for c in range(column, column + across):
+            for c in range(column, min(column + across, MAX_COLUMNS)):
                 below[c] = max(below.get(c, 0), down)
             column += across
         below = {c: n - 1 for c, n in below.items() if n > 1}
@@ -357,7 +392,8 @@ def _table(node: Node) -> list[str]:
             line = ""
             for column, lines in row:
                 if i < len(lines):
-                    line = line.ljust(starts[column]) if len(line) <= starts[column] else line + "  "
+                    gap = starts[column] - len(line)
+                    line += " " * gap if gap <= MAX_PAD and (gap > 0 or not line) else "  "
                     line += lines[i]
             out.append(line.rstrip())
     return out
@@ -371,7 +407,10 @@ def visible_text(html: str | None) -> str:
     """The text of a page as laid out."""
     if not html:
         return ""
-    lines = _inner(parse(html))
+    tree = parse(html)
+    if "visibility" in html.lower():
+        tree = without_invisible(tree) or Node("#root")
+    lines = _inner(tree)
     return "\n".join(lines).strip("\n")
 
 
