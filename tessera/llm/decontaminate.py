@@ -13,11 +13,12 @@ Case tells names, so there is a second, plain form beside the named one: the low
 looked for in both forms; copies in capitals, title case or lower case agree in the plain one. A text or item without names
 has one form that serves as both.
 
-A window needs ``literals`` words that are no placeholders. An item shorter than ``width`` is one window; under
-``least_words`` words it is too common to be looked for.
+A window needs ``literals`` words that are no placeholders. An item shorter than ``width`` is one window. An item of fewer
+than ``least_words`` words stands in any text by chance, so the documents that hold it are those that consist of its words
+and nothing else.
 
 Scale: windows of documents are made and probed within a task against the benchmark's windows, which are broadcast only up
-to ``BROADCAST_ROWS`` windows (checked by a count) and joined by a shuffle beyond that. Only hits are shuffled.
+to ``BROADCAST_BYTES`` (summed first) and joined by a shuffle beyond that. Only hits are shuffled.
 
 Defined cases: null and empty texts hold nothing; null doc_ids are matched like others; equal rows give one result; an item
 that occurs twice is reported at its best alignment (contaminated, then most windows); ties go to the earlier alignment; empty tables give empty results.
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: About 100 bytes a window: 50 MB at most are broadcast.
+#: Rows of two hashes that are broadcast at most, and bytes of windows.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 50 << 20
 #: Units that are slots when they follow a number.
 UNITS = "mm cm m km kg g mg lb lbs oz ml l mph kph kmh hours hour minutes minute seconds second days day weeks week months month years year dollars dollar cents euros percent degrees miles mile feet foot inches inch meters metres litres liters grams kilograms"
 
@@ -105,6 +107,23 @@ def _windows(rows: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
     return out
 
 
+def _short_items(docs: DataFrame, benchmark: DataFrame, s: Settings, doc_text: str, doc_id: str, text_col: str, id_col: str) -> DataFrame | None:
+    """find_items for items of fewer than least_words words; None if there are none."""
+    def few(rows: DataFrame, column: str) -> DataFrame:
+        words = rows.withColumn("words", _words(F.col(f"`{column}`").cast("string"))).where(F.length("words") > 0)
+        # the limit spares splitting whole texts
+        return words.where(F.size(F.split("words", " ", s.least_words + 1)) < s.least_words).withColumn("words", F.translate("words", "^", ""))
+
+    items = written(few(benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text_col}`").alias("t")), "t").select("item_id", "words").distinct())
+    if items.isEmpty():
+        return None
+    text = F.col(f"`{doc_text}`").cast("string")
+    asked = few(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), text.alias("t")), "t")
+    one = F.lit(1).cast("long")
+    met = asked.join(items, "words").select("doc_id", "h1", "item_id").distinct()
+    return met.select("doc_id", "h1", "item_id", one.alias("matched"), one.alias("windows"), F.lit(1.0).alias("coverage"), F.lit(0).cast("long").alias("slots"), F.lit(True).alias("consistent"), F.lit(True).alias("contaminated"))
+
+
 def benchmark_windows(benchmark: DataFrame, s: Settings, text_col: str, id_col: str) -> DataFrame:
     """item_id, bkind, bpos, size, windows (of the item's form), h, bcanon, braw, btext: the windows to look for."""
     text = F.col(f"`{text_col}`").cast("string")
@@ -128,6 +147,12 @@ def benchmark_windows(benchmark: DataFrame, s: Settings, text_col: str, id_col:
 def find_items(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """One row for each document and item of which any window matches: doc_id, h1 (hash of the text), item_id, matched,
     windows, coverage, slots (with another value), consistent, contaminated."""
+    found = _long_items(docs, benchmark, settings, text_col, id_col, item_text, item_id)
+    short = _short_items(docs, benchmark, settings, text_col, id_col, item_text, item_id)
+    return found if short is None else found.unionByName(short)
+
+
+def _long_items(docs: DataFrame, benchmark: DataFrame, settings: Settings, text_col: str, id_col: str, item_text: str, item_id: str) -> DataFrame:
     wanted = benchmark_windows(benchmark, settings, item_text, item_id)
     text = F.col(f"`{text_col}`").cast("string")
     if wanted is None:
@@ -138,7 +163,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     words = docs.where(text.isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), _words(text).alias("words"))
     words = words.select("doc_id", "h1", F.explode(_forms(F.col("words"))).alias("f")).select("doc_id", "h1", "f.words", "f.kind")
     probed = _windows(words.withColumn("template", _template(F.col("words"))), sizes, ["doc_id", "h1", "kind"])
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    heavy = wanted.agg(F.sum(3 * F.octet_length("btext") + 200)).first()[0] or 0
+    small = heavy <= BROADCAST_BYTES
     # a prefix test, not an equality of the two sides: that would become a join key computed for every window
     window = F.expr("concat(concat_ws(' ', slice(canon, pos + 1, size)), ' ')")
     hits = probed.join(F.broadcast(wanted) if small else wanted, ["h", "size"]).where(F.startswith(window, F.col("btext")))
