@@ -1,12 +1,13 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary made of labelled training text. A text is encoded with every
-dictionary; the one that gives the fewest bytes names the language. Long texts are encoded in independent blocks, so
+dictionary; the one that gives the fewest bytes names the language. All texts are encoded alike, in independent blocks, so
 that the dictionary and not the text's own history decides in every part; sizes are summed over the whole text.
 
 Defined cases: a null text or one without any letter gets ``und`` with score 0 and is rejected; equal sizes go to the
 language with more training rows (then the smaller name) with score 0.5 and are rejected as too narrow; repeated rows get
-the same answer each; an empty table gives an empty result; columns other than those named are neither read nor needed.
+the same answer each, and count as one text in the sample; an empty table gives an empty result; columns other than those
+named are neither read nor needed.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from pyspark.sql import functions as F
 from .common import short_batches
 
 UNKNOWN = "und"
-#: Labels above this number are refused: dictionaries go to every executor, so their count must be bounded.
-MAX_LANGUAGES = 256
+#: Bytes of all dictionaries together, which go to every executor: with very many languages each one's is smaller.
+MODEL_BYTES = 16 << 20
+#: Labels above this number, more than there are languages, are refused: they name something else.
+MAX_LANGUAGES = 8192
+#: Groups that a language's texts are ranked in before the sample is picked, so that a common language is not one task's work.
+_SALTS = 64
 _ASCII_LETTER = re.compile("[A-Za-z]")
 #: Bytes that are not letters separate words only; bytes of multi-byte characters stay.
 _TO_SPACE = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
@@ -55,37 +60,37 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     sample_docs: int = 96,
-    piece_bytes: int = 512,
-    dictionary_bytes: int = 32768,
-    level: int = 6,
+    dictionary_bytes: int = 65536,
+    level: int = 12,
     block_bytes: int = 1024,
     min_margin: float = 0.0005,
 ) -> Model:
-    """Dictionaries from a bounded sample: of each language the ``sample_docs`` texts with the smallest hash, the first
-    ``piece_bytes`` characters of each, up to ``dictionary_bytes``. That is the documented bound of the training sample;
-    what comes to the driver is at most languages x sample_docs x piece_bytes. Label counts cover all rows.
+    """Dictionaries from a bounded sample of whole texts: of each language ``sample_docs`` texts at most, up to
+    ``dictionary_bytes`` together. Texts of 1/32 of that or less come first, by their hash, then longer ones by length; texts
+    over the limit are no sample. That is the documented bound of the training sample; what comes to the driver is at most
+    MODEL_BYTES. Label counts cover all rows.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
-        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
-    )
-    rows = rows.withColumn("h", F.xxhash64("text"))
+    text, label = F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string")
+    rows = labelled.select(text.alias("text"), label.alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} language labels")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = rows.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= sample_docs).drop("rank")
-    pieces = (
-        rows.join(F.broadcast(picked), ["lang", "h"])
-        .groupBy("lang", "h")
-        .agg(F.min(F.substring("text", 1, piece_bytes)).alias("piece"))
-        .collect()
-    )
+    most = min(dictionary_bytes, MODEL_BYTES // max(len(counts), 1))
+    size = F.octet_length("text")
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("size", size).withColumn("long", F.greatest("size", F.lit(most // 32)))
+    order = ["long", "h"]
+    first = Window.partitionBy("lang", F.pmod("h", F.lit(_SALTS))).orderBy(*order)
+    last = Window.partitionBy("lang").orderBy(*order)
+    picked = rows.where(F.col("size") <= most).select("lang", "h", "size", "long").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs)
+    picked = picked.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= sample_docs).withColumn("upto", F.sum("size").over(last))
+    picked = picked.where(F.col("upto") <= most).select("lang", "h")
+    texts = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     found: dict[str, list[tuple[int, str]]] = {lang: [] for lang in counts}
-    for r in pieces:
-        found[r["lang"]].append((r["h"], r["piece"]))
-    order = sorted(counts, key=lambda lang: (-counts[lang], lang))
-    texts = {lang: b" ".join(canonical(piece) for _, piece in sorted(found[lang])) for lang in order}
-    return Model(tuple(order), tuple(texts[lang][:dictionary_bytes] for lang in order), level, block_bytes, min_margin)
+    for r in texts:
+        found[r["lang"]].append((r["h"], r["text"]))
+    languages = sorted(counts, key=lambda lang: (-counts[lang], lang))
+    contents = tuple(b" ".join(canonical(text) for _, text in sorted(found[lang])) for lang in languages)
+    return Model(tuple(languages), contents, level, block_bytes, min_margin)
 
 
 class Classifier:
@@ -94,7 +99,6 @@ class Classifier:
     def __init__(self, model: Model) -> None:
         self.model = model
         self.coders = [self._coders(data, model.level) for data in model.dictionaries]
-        self.close = [self._coders(data, 19) for data in model.dictionaries]
 
     @staticmethod
     def _coders(data: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -105,11 +109,8 @@ class Classifier:
         return zstandard.ZstdCompressor(dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def sizes(self, data: bytes) -> list[int]:
-        """Encoded bytes by language. Texts of one short block are encoded at the strongest level, which costs little
-        there and tells more."""
+        """Encoded bytes by language."""
         step = self.model.block_bytes
-        if len(data) <= step // 2:
-            return [len(coder.compress(data)) for coder in self.close]
         blocks = [data[i : i + step] for i in range(0, len(data), step)]
         return [sum(len(coder.compress(b)) for b in blocks) for coder in self.coders]
 
@@ -132,7 +133,7 @@ _SCHEMA = "lang_pred string, score double, margin double, rejected boolean"
 def _classified(docs: DataFrame, model: Model, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` columns under internal names, and the four results. One pass, no shuffle."""
     short_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES x dictionary_bytes
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES at most
     kept = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
     width = len(kept)
     rows = docs.select(*kept, F.col(text_col).cast("string").alias("_text"))
