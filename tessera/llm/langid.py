@@ -60,13 +60,13 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     sample_docs: int = 96,
-    dictionary_bytes: int = 65536,
+    dictionary_bytes: int = 32768,
     level: int = 12,
     block_bytes: int = 1024,
     min_margin: float = 0.0005,
 ) -> Model:
     """Dictionaries from a bounded sample of whole texts: of each language ``sample_docs`` texts at most, up to
-    ``dictionary_bytes`` together. Texts of 1/32 of that or less come first, by their hash, then longer ones by length; texts
+    ``dictionary_bytes`` together. Texts of 1/64 of that or less come first, by their hash, then longer ones by length; texts
     over the limit are no sample. That is the documented bound of the training sample; what comes to the driver is at most
     MODEL_BYTES. Label counts cover all rows.
     """
@@ -77,7 +77,7 @@ def train(
         raise ValueError(f"more than {MAX_LANGUAGES} language labels")
     most = min(dictionary_bytes, MODEL_BYTES // max(len(counts), 1))
     size = F.octet_length("text")
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("size", size).withColumn("long", F.greatest("size", F.lit(most // 32)))
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("size", size).withColumn("long", F.greatest("size", F.lit(most // 64)))
     order = ["long", "h"]
     first = Window.partitionBy("lang", F.pmod("h", F.lit(_SALTS))).orderBy(*order)
     last = Window.partitionBy("lang").orderBy(*order)
