@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,6 +29,8 @@ def remainder(a: Column, b: Column) -> Column:
 
 
 def _truncating_div(a: int, b: int) -> int:
+    if not b:
+        raise ValueError("division by zero")
     q = abs(a) // abs(b)
     return q if (a < 0) == (b < 0) else -q
 
@@ -38,29 +41,50 @@ _OPS = {
 }
 
 
-def exact(op: str, a: Column, b: Column) -> Column:
-    """Arithmetic on integers of any length given as decimal text; null operands give null."""
-    f = _OPS[op]
+def _by_value(f: Callable, *columns: Column) -> Column:
+    """Decimal text of f over integers given as decimal text; null if an operand is."""
 
     @F.pandas_udf("string")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else str(f(int(p), int(q))) for p, q in zip(x, y)], dtype=object)
+    def run(*series: pd.Series) -> pd.Series:
+        found = (None if any(x is None for x in row) else f(*map(int, row)) for row in zip(*series))
+        return pd.Series([None if v is None else str(v) for v in found], dtype=object)
 
-    return run(a.cast("string"), b.cast("string"))
+    return run(*[c.cast("string") for c in columns])
 
 
-def wrapped_pow(base: Column, exponent: Column, bits: int, signed: bool) -> Column:
-    """base to the exponent, wrapped to 128 bits (or any other width), as decimal text."""
+def exact(op: str, a: Column, b: Column) -> Column:
+    """Arithmetic on integers of any length given as decimal text. Operands of up to 18 digits are added, subtracted,
+    multiplied and divided as decimals; only longer ones travel to Python."""
+    short = {"add": lambda x, y: x + y, "sub": lambda x, y: x - y, "mul": lambda x, y: x * y, "div": quotient, "rem": remainder}.get(op)
+    if short is None:
+        return _by_value(_OPS[op], a, b)
+    a, b = a.cast("string"), b.cast("string")
+    fits = (F.length(a) <= 18) & (F.length(b) <= 18)
+    narrow = lambda x: F.when(fits, x).cast("decimal(18,0)")
+    rest = _by_value(_OPS[op], F.when(~fits, a), b)
+    return F.when(fits, short(narrow(a), narrow(b)).cast("decimal(38,0)").cast("string")).otherwise(rest)
+
+
+def negate(x: Column) -> Column:
+    return _by_value(operator.neg, x)
+
+
+def to_double(x: Column) -> Column:
+    return x.cast("double")
+
+
+def to_float(x: Column) -> Column:
+    return x.cast("float")
 
-    @F.pandas_udf("string")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            v = pow(int(p), int(q), 1 << bits)
-            out.append(str(v - (1 << bits) if signed and v >= 1 << (bits - 1) else v))
-        return pd.Series(out, dtype=object)
 
-    return run(base.cast("string"), exponent.cast("string"))
+def _signed(value: int, bits: int, signed: bool) -> int:
+    value %= 1 << bits
+    return value - (1 << bits) if signed and value >= 1 << (bits - 1) else value
+
+
+def wrapped_pow(base: Column, exponent: Column, bits: int, signed: bool) -> Column:
+    """base to the exponent, wrapped to 128 bits (or any other width), as decimal text."""
+    return _by_value(lambda x, y: _signed(pow(x, y, 1 << bits), bits, signed), base, exponent)
 
 
 def parse(text: Column, radix: int = 10) -> Column:
@@ -81,25 +105,9 @@ def parse(text: Column, radix: int = 10) -> Column:
 
 def truncate_to(x: Column, bits: int, signed: bool) -> Column:
     """The low bits of a number given as decimal text."""
-    modulus = 1 << bits
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        out = []
-        for t in values:
-            v = int(t) % modulus
-            out.append(str(v - modulus if signed and v >= modulus >> 1 else v))
-        return pd.Series(out, dtype=object)
-
-    return run(x.cast("string"))
+    return _by_value(lambda v: _signed(v, bits, signed), x)
 
 
 def checked(x: Column, bits: int, signed: bool) -> Column:
     """The number if it fits, else null (decimal text in and out)."""
-    low, high = (-(1 << (bits - 1)), (1 << (bits - 1)) - 1) if signed else (0, (1 << bits) - 1)
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series([t if t is not None and low <= int(t) <= high else None for t in values], dtype=object)
-
-    return run(x.cast("string"))
+    return _by_value(lambda v: v if _signed(v, bits, signed) == v else None, x)

@@ -14,13 +14,17 @@ def size(m: Column) -> Column:
     return F.size(m).cast("long")
 
 
+def empty(key: str, value: str) -> Column:
+    return F.array().cast(f"array<struct<key:{key},value:{value}>>")
+
+
 def singleton(k: Column, v: Column) -> Column:
     return F.array(_entry(k, v))
 
 
 def insert(m: Column, k: Column, v: Column) -> Column:
     """Overwrites."""
-    return F.array_sort(F.array_append(F.filter(m, lambda e: e["key"] != k), _entry(k, v)))
+    return F.sort_array(F.array_append(F.filter(m, lambda e: e["key"] != k), _entry(k, v)))
 
 
 insert_imm = insert
@@ -46,7 +50,7 @@ def is_empty(m: Column) -> Column:
 def union(a: Column, b: Column) -> Column:
     """b wins."""
     only = F.filter(a, lambda e: ~F.exists(b, lambda o: o["key"] == e["key"]))
-    return F.array_sort(F.concat(only, b))
+    return F.sort_array(F.concat(only, b))
 
 
 def keys(m: Column) -> Column:
@@ -67,7 +71,7 @@ def nth_value(m: Column, n: Column) -> Column:
 
 def mutate(m: Column, changes: Column) -> Column:
     """What a map mutator does: an entry with a null value deletes its key, any other sets it."""
-    return F.filter(union(m, F.array_sort(changes)), lambda e: e["value"].isNotNull())
+    return F.filter(union(m, F.sort_array(changes)), lambda e: e["value"].isNotNull())
 
 
 def from_vec(pairs: Column) -> Column:

@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 
 def pow32(base: Column, exponent: Column, bits: int, signed: bool) -> Column:
-    """base to the exponent, wrapped to an integer of ``bits`` bits (8 to 64). Multiplies ``exponent`` times."""
-    modulus = F.lit(str(1 << bits)).cast("decimal(38,0)")
-    if bits <= 32:
-        wrapped = F.aggregate(F.array_repeat(F.pmod(base.cast("long"), F.lit(1 << bits)), exponent), F.lit(1).cast("long"), lambda a, x: F.pmod(a * x if bits < 32 else _mul32(a, x), F.lit(1 << bits)))
-        if signed:
-            return F.when(wrapped >= 1 << (bits - 1), wrapped - (1 << bits)).otherwise(wrapped)
-        return wrapped
-    start = F.pmod(base.cast("decimal(38,0)"), modulus)
-    wrapped = F.aggregate(F.array_repeat(start, exponent), F.lit(1).cast("decimal(38,0)"), lambda a, x: _mul64(a, x))
+    """base to the exponent (an unsigned number of 32 bits), wrapped to an integer of ``bits`` bits (8 to 64). Squares once for
+    each bit of the exponent."""
+    kind = "bigint" if bits <= 32 else "decimal(38,0)"
+    modulus = F.lit(str(1 << bits)).cast(kind)
+    start = F.pmod(base.cast(kind), modulus).cast(kind)
+    multiply = _mul64 if bits > 32 else _mul32 if bits == 32 else lambda a, x: F.pmod(a * x, modulus)
+
+    def step(a: Column, i: Column) -> Column:
+        square = multiply(a, a)
+        odd = F.call_function("shiftright", exponent.cast("bigint"), i).bitwiseAND(F.lit(1)) == 1
+        return F.when(odd, multiply(square, start)).otherwise(square).cast(kind)
+
+    wrapped = F.when(base.isNotNull() & exponent.isNotNull(), F.aggregate(F.sequence(F.lit(31), F.lit(0), F.lit(-1)), F.lit(1).cast(kind), step))
     if signed:
-        half = F.lit(str(1 << 63)).cast("decimal(38,0)")
-        return F.when(wrapped >= half, (wrapped - modulus).cast("decimal(20,0)")).otherwise(wrapped.cast("decimal(20,0)")).cast("long")
-    return wrapped.cast("decimal(20,0)")
+        half = F.lit(str(1 << (bits - 1))).cast(kind)
+        wrapped = F.when(wrapped >= half, wrapped - modulus).otherwise(wrapped)
+        return wrapped.cast("bigint")
+    return wrapped if bits <= 32 else wrapped.cast("decimal(20,0)")
 
 
 def _mul32(a: Column, x: Column) -> Column:
@@ -33,7 +38,8 @@ def _mul64(a: Column, x: Column) -> Column:
     modulus = F.lit(str(1 << 64)).cast("decimal(38,0)")
     out = F.lit(0).cast("decimal(38,0)")
     for i in (48, 32, 16, 0):
-        part = F.floor(x / F.lit(1 << i).cast("decimal(20,0)")).cast("decimal(20,0)") % F.lit(65536).cast("decimal(6,0)")
+        step = F.lit(1 << i).cast("decimal(20,0)")
+        part = ((x - x % step) / step).cast("decimal(20,0)") % F.lit(65536).cast("decimal(6,0)")  # a plain quotient would be rounded
         out = F.pmod((out * F.lit(65536).cast("decimal(6,0)")).cast("decimal(38,0)") + (a.cast("decimal(20,0)") * part.cast("decimal(6,0)")).cast("decimal(38,0)"), modulus).cast("decimal(38,0)")
     return out
 

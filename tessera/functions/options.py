@@ -58,6 +58,18 @@ def result_unwrap_or(r: Column, d: Column) -> Column:
     return F.coalesce(r["ok"], d)
 
 
+def result_unwrap_or_default(r: Column, default: Column) -> Column:
+    return F.when(is_ok(r), r["ok"]).otherwise(default)
+
+
+def converted(x: Column) -> Column:
+    """Options and results have one form only: what turns one library's into another's does nothing."""
+    return x
+
+
+res2std = option2std = std2option = converted
+
+
 def to_vec(o: Column) -> Column:
     """No or one element."""
     return F.filter(F.array(o), lambda x: x.isNotNull())

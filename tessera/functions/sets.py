@@ -10,12 +10,16 @@ def size(s: Column) -> Column:
     return F.size(s).cast("long")
 
 
+def empty(element: str) -> Column:
+    return F.array().cast(f"array<{element}>")
+
+
 def singleton(x: Column) -> Column:
     return F.array(x)
 
 
 def insert(s: Column, x: Column) -> Column:
-    return F.array_sort(F.array_union(s, F.array(x)))
+    return F.sort_array(F.array_union(s, F.array(x)))
 
 
 insert_imm = insert
@@ -38,21 +42,21 @@ def to_vec(s: Column) -> Column:
 
 
 def union(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_union(a, b))
+    return F.sort_array(F.array_union(a, b))
 
 
 def unions(v: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(v)))
+    return F.sort_array(F.array_distinct(F.flatten(v)))
 
 
 def intersection(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_intersect(a, b))
+    return F.sort_array(F.array_intersect(a, b))
 
 
 def difference(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_except(a, b))
+    return F.sort_array(F.array_except(a, b))
 
 
 def symmetric_difference(a: Column, b: Column) -> Column:
     """What a set mutator does: present elements go, missing ones come."""
-    return F.array_sort(F.array_union(F.array_except(a, b), F.array_except(b, a)))
+    return F.sort_array(F.array_union(F.array_except(a, b), F.array_except(b, a)))

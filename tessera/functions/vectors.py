@@ -10,6 +10,16 @@ def length(v: Column) -> Column:
     return F.size(v).cast("long")
 
 
+def empty(element: str) -> Column:
+    """No elements; element is their type."""
+    return F.array().cast(f"array<{element}>")
+
+
+def with_capacity(element: str, n: int) -> Column:
+    """As ``empty``: arrays have no capacity."""
+    return empty(element)
+
+
 def with_length(n: Column, x: Column) -> Column:
     return F.array_repeat(x, n)
 
@@ -49,11 +59,11 @@ def nth(v: Column, n: Column) -> Column:
 
 
 def to_set(v: Column) -> Column:
-    return F.array_sort(F.array_distinct(v))
+    return F.sort_array(F.array_distinct(v))
 
 
 def sort(v: Column) -> Column:
-    return F.array_sort(v)
+    return F.sort_array(v)
 
 
 sort_imm = sort

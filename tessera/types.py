@@ -51,7 +51,7 @@ def unsigned(value: Column, bits: int) -> Column:
 def canonical_map(entries: Column) -> Column:
     """Entries sorted by key; of equal keys the last one stays."""
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.array_sort(last)
+    return F.sort_array(last)
 
 
 #: Defaults by type, for fields that a command leaves out.
