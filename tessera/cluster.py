@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import types as S
 from .functions.selectors import label_selector_matches
-from .operators import cross_join, flat_map
+from .operators import flat_map
 from .plans.fixpoint import State
 from .plans.program import INPUT, OUTPUT, Program
 
@@ -27,18 +29,58 @@ def nodes_in_use(s: State) -> DataFrame:
     return s["Pod"].select(F.col("spec.nodeName").alias("name"))
 
 
+def _choices(selector: Column) -> Column:
+    """Ways to look a selector up in an index of labels, each an array of (key, value) of which a matching object has exactly
+    one; a null value stands for any. Negative requirements and empty selectors offer none."""
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    anything = F.lit(None).cast("string")
+    named = F.transform(selector["matchLabels"], lambda e: F.array(entry(e["key"], e["value"])))
+    positive = F.filter(selector["matchExpressions"], lambda r: r["operator"].isin("In", "Exists"))
+    required = F.transform(
+        positive,
+        lambda r: F.when(r["operator"] == "In", F.transform(F.array_distinct(r["values"]), lambda v: entry(r["reqkey"], v))).otherwise(F.array(entry(r["reqkey"], anything))),
+    )
+    return F.concat(named, required)
+
+
+def selected(owners: DataFrame, pods: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """owners (owner, selector and the columns of ``scope``) with the pods (pod and those columns) that their selectors match.
+
+    Each selector is looked up by the choice that the fewest pods meet, in an index of labels; the whole selector is tested
+    on what that finds. Selectors without a choice match almost everything: they meet all pods of their scope.
+    """
+    held = F.transform("pod.meta.labels", lambda e: F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")), F.struct(e["key"].alias("key"), F.lit(None).cast("string").alias("value"))))
+    index = pods.select("pod", *scope, F.explode(F.flatten(held)).alias("l")).select("pod", *scope, F.col("l.key").alias("key"), F.col("l.value").alias("value"))
+    counts = index.groupBy("key", "value").agg(F.count("*").alias("pods")).withColumnsRenamed({"key": "ck", "value": "cv"})
+    tests = owners.select("selector").where("selector is not null").distinct().withColumn("choices", _choices(F.col("selector")))
+    each = tests.select("selector", F.posexplode("choices").alias("no", "entries")).select("selector", "no", F.explode_outer("entries").alias("e"))
+    costs = each.join(counts, (F.col("e.key") == F.col("ck")) & F.col("e.value").eqNullSafe(F.col("cv")), "left").groupBy("selector", "no").agg(F.sum(F.coalesce("pods", F.lit(0))).alias("cost"))
+    best = costs.groupBy("selector").agg(F.min(F.struct("cost", "no"))["no"].alias("best")).withColumnRenamed("selector", "s1")
+    probes = each.join(best, (F.col("selector") == F.col("s1")) & (F.col("no") == F.col("best"))).select(F.col("selector").alias("s2"), F.col("e.key").alias("pk"), F.col("e.value").alias("pv"))
+    asked = owners.join(probes, F.col("selector") == F.col("s2")).select(*owners.columns, "pk", "pv")
+    test = label_selector_matches(F.col("selector"), F.col("pod.meta.labels"))
+
+    def same_scope(a: DataFrame, b: DataFrame) -> Column:
+        return reduce(Column.__and__, [a[c] == b[c] for c in scope], F.lit(True))
+
+    met = asked.join(index, same_scope(asked, index) & (asked["pk"] == index["key"]) & asked["pv"].eqNullSafe(index["value"]))
+    found = met.where(test).select("owner", "pod")
+    broad = owners.where((F.size(_choices(F.col("selector"))) == 0) & F.col("selector").isNotNull())
+    rest = broad.join(pods, same_scope(broad, pods)) if scope else broad.crossJoin(pods)
+    return found.unionByName(rest.where(test).select("owner", "pod"))
+
+
 def matches_pod(s: State) -> DataFrame:
-    """Every selector against every pod; the smaller side is broadcast."""
-    pods = s["PodByName"].select("pod", F.col("ns").alias("namespace"))
-    matched = cross_join(s["Selectors"], pods, label_selector_matches(F.col("s"), F.col("pod.meta.labels")))
-    return matched.select(F.col("s").alias("selector"), "namespace", "pod")
+    """Every selector with every pod that it matches."""
+    owners = s["Selectors"].select(F.col("s").alias("owner"), F.col("s").alias("selector"))
+    found = selected(owners, s["PodByName"].select("pod"), ())
+    return found.select(F.col("owner").alias("selector"), F.col("pod.meta.namespace").alias("namespace"), "pod")
 
 
 def _selects(owner: str, relation: str):
     def body(s: State) -> DataFrame:
-        owners = s[relation].select(F.col(owner).alias("rs"), "ns")
-        pods = s["PodByName"].select("pod", "ns")
-        return owners.join(pods, "ns").where(label_selector_matches(F.col("rs.spec.selector"), F.col("pod.meta.labels"))).select("rs", "pod")
+        owners = s[relation].select(F.col(owner).alias("owner"), F.col(f"{owner}.spec.selector").alias("selector"), "ns")
+        return selected(owners, s["PodByName"].select("pod", "ns"), ("ns",)).select(F.col("owner").alias("rs"), "pod")
 
     return body
 
@@ -50,21 +92,27 @@ def ingress_to_service(s: State) -> DataFrame:
     return rules.join(services, (F.col("ing.meta.namespace") == services["ns"]) & (F.col("rule.backend") == services["name"])).select("ing", "svc")
 
 
-def public_services(s: State) -> DataFrame:
-    return s["Service"].where(F.col("spec.typ") == "LoadBalancer").select(F.struct("*").alias("svc"))
+def public_names(s: State) -> DataFrame:
+    return s["Service"].where(F.col("spec.typ") == "LoadBalancer").select(F.col("meta.namespace").alias("ns"), F.col("meta.name").alias("name"))
 
 
-def public_through_ingress(s: State) -> DataFrame:
-    """Services behind an ingress whose controller is itself a public service. The ingress is the one that has the public
-    service's namespace and name."""
-    public = s["IsPublic"].select(F.col("svc.meta.namespace").alias("pns"), F.col("svc.meta.name").alias("pname"))
-    controllers = s["IngressController"].select(F.col("ns").alias("cns"), F.col("name").alias("cname"), "className")
-    via = public.join(controllers, (F.col("pns") == F.col("cns")) & (F.col("pname") == F.col("cname")))
+def exposes(s: State) -> DataFrame:
+    """Which service leads to which: the ingress that has a service's namespace and name, and whose class the service's
+    controller serves, leads to its backends."""
     routed = s["IngressToService"].select(
-        F.col("ing.meta.namespace").alias("ins"), F.col("ing.meta.name").alias("iname"), F.col("ing.spec.ingressClassName").alias("iclass"), "svc"
-    )
-    on = (F.col("pns") == F.col("ins")) & (F.col("pname") == F.col("iname")) & (F.col("className") == F.col("iclass"))
-    return via.join(routed, on).select("svc")
+        F.col("ing.meta.namespace").alias("ns"), F.col("ing.meta.name").alias("name"), F.col("ing.spec.ingressClassName").alias("className"),
+        F.col("svc.meta.namespace").alias("to_ns"), F.col("svc.meta.name").alias("to_name"),
+    )
+    return routed.join(s["IngressController"], ["ns", "name", "className"]).select("ns", "name", "to_ns", "to_name")
+
+
+def public_through_ingress(s: State) -> DataFrame:
+    return s["Exposes"].join(s["PublicName"], ["ns", "name"]).select(F.col("to_ns").alias("ns"), F.col("to_name").alias("name"))
+
+
+def is_public(s: State) -> DataFrame:
+    """The services that have a public name."""
+    return s["ServiceByName"].join(s["PublicName"], ["ns", "name"], "left_semi").select("svc")
 
 
 def program() -> Program:
@@ -91,7 +139,12 @@ def program() -> Program:
     p.rule("ReplicaSetMatchesPod", ["ReplicaSetByName", "PodByName"], _selects("rs", "ReplicaSetByName"))
     p.relation("IngressToService", _fields(ing=S.INGRESS, svc=S.SERVICE), kind=OUTPUT)
     p.rule("IngressToService", ["Ingress", "ServiceByName"], ingress_to_service)
+    # the recursion runs on names; the services themselves join once
+    p.relation("Exposes", _fields(ns=text, name=text, to_ns=text, to_name=text))
+    p.rule("Exposes", ["IngressToService", "IngressController"], exposes)
+    p.relation("PublicName", _fields(ns=text, name=text))
+    p.rule("PublicName", ["Service"], public_names)
+    p.rule("PublicName", ["PublicName", "Exposes"], public_through_ingress)
     p.relation("IsPublic", _fields(svc=S.SERVICE), kind=OUTPUT)
-    p.rule("IsPublic", ["Service"], public_services)
-    p.rule("IsPublic", ["IsPublic", "IngressController", "IngressToService"], public_through_ingress)
+    p.rule("IsPublic", ["ServiceByName", "PublicName"], is_public)
     return p

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import drop, written
+from ..storage import counted, drop, written
 
 State = dict[str, DataFrame]
 #: A rule body: reads the relations it names from a state and gives new rows of its head.
@@ -18,45 +18,81 @@ Body = Callable[[State], DataFrame]
 MAX_ROUNDS = 65_535
 
 
+#: While a round's new rows are at most so many, a round takes several steps before it is compared with the known rows.
+FEW_ROWS = 100_000
+STEPS = 4
+
+
+class _Reads(dict):
+    """A state that a body reads for its ``at``-th use of a recursive relation: that use gives the new rows, others all rows."""
+
+    def __init__(self, state: State, fresh: State, names: set[str], at: int) -> None:
+        super().__init__(state)
+        self.fresh, self.names, self.at = fresh, names, at
+        self.uses: list[str] = []
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            return super().__getitem__(name)
+        self.uses.append(name)
+        return self.fresh[name] if len(self.uses) == self.at else super().__getitem__(name)
+
+
 def _missing(rows: DataFrame, known: DataFrame) -> DataFrame:
-    return rows.join(known, [rows[c].eqNullSafe(known[c]) for c in rows.columns], "left_anti")
+    held = known.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(rows.columns)])
+    return rows.join(held, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(rows.columns)], "left_anti")
+
+
+def _step(rules: list[tuple[str, list[str], Body]], state: State, fresh: State, columns: dict[str, list[str]]) -> dict[str, list[DataFrame]]:
+    """What the rules give for each use of a recursive relation that has new rows."""
+    found: dict[str, list[DataFrame]] = {}
+    for head, reads, body in rules:
+        probe = _Reads(state, fresh, set(reads), 0)
+        body(probe)
+        for at, name in enumerate(probe.uses, 1):
+            if name in fresh:
+                found.setdefault(head, []).append(body(_Reads(state, fresh, set(reads), at)).select(*columns[head]))
+    return found
 
 
 def fixpoint(bases: State, rules: list[tuple[str, list[str], Body]], context: State | None = None, max_rounds: int = MAX_ROUNDS) -> State:
     """The least relations that hold ``bases`` and are closed under ``rules``.
 
-    rules: (head, recursive relations that the body reads, body). In each round a body is evaluated once for each
-    recursive relation it reads, with that one replaced by the last round's new rows, so that only changes circulate. New
-    rows are written to the shared folder, which cuts the lineage every round; known rows are the union of those tables.
+    rules: (head, recursive relations that the body reads, body). A body asks the state for each use of a relation. In each
+    round it is evaluated once for each use of a recursive relation, with the last round's new rows in that place, so that
+    only changes circulate. While they are few, a round takes ``STEPS`` steps: rows that the first ones give are new rows
+    of the next, and the round's rows are compared with the known ones once. New rows are written to the shared folder,
+    which cuts the lineage every round; known rows are the union of those tables.
     """
     context = context or {}
-    deltas = {name: written(base.distinct()) for name, base in bases.items()}
-    known: dict[str, list[DataFrame]] = {name: [d] for name, d in deltas.items()}
+    columns = {name: base.columns for name, base in bases.items()}
+    deltas, known, rows_in = {}, {}, {}
+    for name, base in bases.items():
+        deltas[name], rows_in[name] = counted(base.distinct())
+        known[name] = [deltas[name]]
     for _ in range(max_rounds):
         state = context | {name: reduce(DataFrame.unionByName, parts) for name, parts in known.items()}
-        found: dict[str, list[DataFrame]] = {}
-        for head, reads, body in rules:
-            for name in dict.fromkeys(reads):
-                if deltas[name] is not None:
-                    found.setdefault(head, []).append(body(state | {name: deltas[name]}).select(*bases[head].columns))
-        fresh: dict[str, DataFrame | None] = dict.fromkeys(bases)
-        for head, parts in found.items():
-            rows = written(_missing(reduce(DataFrame.unionByName, parts).distinct(), state[head]))
-            if rows.isEmpty():
-                drop(rows)
-            else:
-                fresh[head] = rows
-        if not any(d is not None for d in fresh.values()):
+        fresh = {name: d for name, d in deltas.items() if rows_in[name]}
+        if not fresh:
             return {name: state[name] for name in bases}
-        for name, rows in fresh.items():
-            if rows is not None:
-                known[name].append(rows)
-                if len(known[name]) >= 20:  # many small tables are slow to read
-                    whole = written(reduce(DataFrame.unionByName, known[name]))
-                    for part in known[name][:-1]:
-                        drop(part)
-                    known[name] = [whole]
-        deltas = fresh
+        made: dict[str, list[DataFrame]] = {}
+        for _ in range(STEPS if sum(rows_in.values()) <= FEW_ROWS else 1):
+            found = {head: reduce(DataFrame.unionByName, parts).distinct() for head, parts in _step(rules, state, fresh, columns).items()}
+            for head, rows in found.items():
+                made.setdefault(head, []).append(rows)
+            fresh = found
+        deltas, rows_in = {}, dict.fromkeys(bases, 0)
+        for head, parts in made.items():
+            deltas[head], rows_in[head] = counted(_missing(reduce(DataFrame.unionByName, parts).distinct(), state[head]))
+            if not rows_in[head]:
+                drop(deltas[head])
+                continue
+            known[head].append(deltas[head])
+            if len(known[head]) >= 20:  # many small tables are slow to read
+                whole = written(reduce(DataFrame.unionByName, known[head]))
+                for part in known[head][:-1]:
+                    drop(part)
+                known[head] = [whole]
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..operators import union
+from ..storage import written
 from .fixpoint import State, fixpoint
 
 SET, MULTISET, STREAM = "set", "multiset", "stream"
 INPUT, OUTPUT, INTERNAL = "input", "output", "internal"
 
 
+_DELAYED = re.compile(r"(.+)-([1-9][0-9]*)")
+
+
+def delayed_name(name: str) -> tuple[str, int] | None:
+    """``R-2`` is relation R as it was two epochs ago; rules may read it, and it is no part of a recursion."""
+    found = _DELAYED.fullmatch(name)
+    return (found[1], int(found[2])) if found else None
+
+
 @dataclass(frozen=True)
 class Relation:
     """key: columns (paths allowed) that identify a row of an input relation. distinct: whether equal rows count once."""
@@ -81,7 +92,7 @@ class Program:
         """Groups of mutually recursive relations, each after what it reads (Tarjan's algorithm, without recursion)."""
         reads: dict[str, set[str]] = {name: set() for name in self.relations}
         for r in self.rules:
-            reads[r.head] |= set(r.reads) | set(r.negated)
+            reads[r.head] |= {n for n in r.reads + r.negated if not delayed_name(n)}
         for t in self.transformers:
             for head in t.heads:
                 reads[head] |= set(t.reads)
@@ -131,11 +142,28 @@ class Program:
             if any(set(t.heads) & set(group) for t in self.transformers):
                 raise ValueError(f"transformer inside the recursion of {', '.join(group)}")
 
-    def evaluate(self, spark: SparkSession, inputs: State) -> State:
-        """All relations from the input relations. Recursive groups run at once, the rest stays lazy."""
+    def needed(self, outputs: Iterable[str]) -> set[str]:
+        """The relations that some relations are made of, themselves included."""
+        found, open_ = set(), list(outputs)
+        while open_:
+            name = open_.pop()
+            if name in found or name not in self.relations:
+                continue
+            found.add(name)
+            open_ += [n for r in self.rules if r.head == name for n in r.reads + r.negated]
+            open_ += [n for t in self.transformers if name in t.heads for n in t.reads]
+        return found
+
+    def evaluate(self, spark: SparkSession, inputs: State, past: State | None = None, only: Iterable[str] | None = None) -> State:
+        """All relations (or those that ``only`` needs) from the input relations, and from those of earlier epochs by their
+        delayed names. Recursive groups run at once, the rest stays lazy."""
         self.check()
-        state = dict(inputs)
+        past = past or {}
+        state = dict(inputs) | past
+        wanted = set(self.relations) if only is None else self.needed(only)
         for group in self.order():
+            if not wanted & set(group):
+                continue
             if self.recursive(group):
                 state |= self._solve(spark, group, state)
                 continue
@@ -148,7 +176,7 @@ class Program:
             rows = union(*parts) if parts else spark.createDataFrame([], self.relations[name].schema)
             rows = self._with_facts(spark, name, rows)
             state[name] = rows.distinct() if self.relations[name].distinct else rows
-        return state
+        return {name: df for name, df in state.items() if name not in past}
 
     def _with_facts(self, spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
         facts = self.facts.get(name)
@@ -159,6 +187,9 @@ class Program:
 
     def _solve(self, spark: SparkSession, group: list[str], state: State) -> State:
         bases, steps = {}, []
+        # what every round reads is evaluated once
+        outside = {x for r in self.rules if r.head in group and set(r.reads) & set(group) for x in r.reads + r.negated} - set(group)
+        state = state | {x: written(state[x]) for x in sorted(outside) if x in self.relations and self.relations[x].kind != INPUT}
         for name in group:
             base = [r.body(state).select(*self.relations[name].schema.names) for r in self.rules if r.head == name and not set(r.reads) & set(group)]
             rows = union(*base) if base else spark.createDataFrame([], self.relations[name].schema)

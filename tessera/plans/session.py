@@ -2,19 +2,32 @@
 
 Updates are DataFrames or rows; each call is checked as a whole before it takes effect (a failing batch leaves the staged
 state as it was). ``commit`` writes the new inputs to the shared folder, evaluates the program and returns the changes of
-the output relations as weighted DataFrames. An epoch passes with every commit that changes anything.
+the output relations as weighted DataFrames; outputs and changes are written as well, so nothing is evaluated twice. An epoch passes with every commit that changes anything.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import maps, sets
 from ..operators.relational import W, consolidate, delta, negate, weighted
-from ..storage import written
-from .program import INPUT, MULTISET, OUTPUT, STREAM, Program, Relation
+from ..storage import counted, drop, written
+from .program import INPUT, MULTISET, OUTPUT, STREAM, Program, Relation, delayed_name
+
+
+def mutated(field: T.StructField, value: Column) -> Column:
+    """A column after a mutator."""
+    kind = field.dataType
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and kind.elementType.names == ["key", "value"]:
+        return maps.mutate(F.col(field.name), value)
+    if isinstance(kind, T.ArrayType) and field.metadata.get("kind") == "set":
+        return sets.symmetric_difference(F.col(field.name), value)
+    return value
 
 
 class UpdateError(ValueError):
@@ -30,8 +43,8 @@ class Session:
         self.touched: set[str] = set()
         self.epoch = 1
         self.stopped = False
-        self.state = program.evaluate(spark, self._values(self.inputs))
-        self.history: dict[int, dict[str, DataFrame]] = {1: dict(self.state)}
+        self.history: dict[int, dict[str, DataFrame]] = {}
+        self.state = self._evaluate(self.inputs, ())
 
     # --- transactions
 
@@ -50,10 +63,9 @@ class Session:
         before = self.state
         now, effective = dict(self.inputs), False
         for name in self.touched:
-            rows = written(staged[name])
+            rows, n = counted(staged[name])
             if self.program.relations[name].caching == STREAM:
-                effective = effective or not rows.isEmpty()
-                now[name] = rows
+                now[name], effective = rows, effective or n > 0
             elif not self._change(name, self.inputs[name], rows).isEmpty():
                 now[name], effective = rows, True
         self.staged = None
@@ -64,14 +76,36 @@ class Session:
             now[name] = self._empty(self.program.relations[name])
         self.inputs = now
         self.epoch += 1
-        self.state = self.program.evaluate(self.spark, self._values(now))
-        self.history[self.epoch] = dict(self.state)
+        outputs = [n for n, r in self.program.relations.items() if r.kind == OUTPUT]
+        self.state = self._evaluate(now, outputs if changes else ())
         for old in [e for e in self.history if e <= self.epoch - self.keep_epochs]:
             del self.history[old]
         if not changes:
             return {}
-        found = {n: delta(before[n], self.state[n]) for n, r in self.program.relations.items() if r.kind == OUTPUT}
-        return {n: d for n, d in found.items() if not d.isEmpty()}
+        found = {}
+        for name in outputs:
+            difference, n = counted(delta(before[name], self.state[name]))
+            if n:
+                found[name] = difference
+            else:
+                drop(difference)
+        return found
+
+    def _evaluate(self, inputs: dict[str, DataFrame], keep: tuple | list) -> dict[str, DataFrame]:
+        """The program's relations. Those of ``keep`` and those that rules read with a delay are written, once."""
+        late = {delayed_name(n) for r in self.program.rules for n in r.reads + r.negated if delayed_name(n)}
+        past = {f"{name}-{by}": self._past(name, by) for name, by in late}
+        state = self.program.evaluate(self.spark, self._values(inputs), past)
+        wanted = {n for n in (*keep, *(name for name, _ in late)) if self.program.relations[n].kind != INPUT}
+        state |= {n: written(state[n]) for n in sorted(wanted)}
+        self.history[self.epoch] = dict(state)
+        return state
+
+    def _past(self, name: str, by: int) -> DataFrame:
+        if by >= self.keep_epochs:
+            raise ValueError(f"only {self.keep_epochs} epochs are kept")
+        held = self.history.get(self.epoch - by)
+        return held[name] if held else self.spark.createDataFrame([], self.program.relations[name].schema)
 
     def stop(self) -> None:
         self.staged, self.stopped = None, True
@@ -134,6 +168,12 @@ class Session:
             raise UpdateError(f"modify: duplicate key in {name}")
         self._stage(name, whole)
 
+    def mutate(self, name: str, keys, changes: dict[str, Column]) -> None:
+        """``modify`` as commands mean it: of a map column the given entries are set, or deleted where the value is null; of a
+        set column (metadata ``kind`` = ``set``) the given members are toggled; any other column takes the new value."""
+        schema = self._input(name).schema
+        self.modify(name, keys, {path: value if "." in path else mutated(schema[path], value) for path, value in changes.items()})
+
     def clear(self, name: str) -> None:
         relation = self._input(name)
         if relation.caching == STREAM:
@@ -149,16 +189,20 @@ class Session:
             raise UpdateError(f"unknown relation {name}")
         if delay == 0:
             return self.state[name]
-        if delay >= self.keep_epochs:
-            raise ValueError(f"only {self.keep_epochs} epochs are kept")
-        past = self.history.get(self.epoch - delay)
-        return past[name] if past else self.spark.createDataFrame([], self.program.relations[name].schema)
+        return self._past(name, delay)
 
     def input_data(self, name: str) -> DataFrame:
         """The content of an input relation with the updates of an open transaction."""
         self._input(name)
         return (self.staged or self.inputs)[name]
 
+    def dump_table(self, name: str, callback: Callable[[Row, int], bool]) -> None:
+        """Calls back with each row of a relation and its weight until the callback returns False."""
+        rows = self.relation(name)
+        for row in rows.toLocalIterator():
+            if not callback(row, 1):
+                return
+
     def query_index(self, name: str, *key) -> DataFrame:
         index = self._index(name)
         rows = self.state[index.relation]

@@ -1,4 +1,4 @@
-"""Registered queries of the engine, each beside its SQL equivalent."""
+"""Registered queries of rules, operators, streams, recursion, transactions and functions, each beside its SQL equivalent."""
 
 from __future__ import annotations
 
@@ -10,33 +10,17 @@ from pyspark.sql import types as T
 
 from . import operators as O
 from .cluster import program as cluster_program
-from .functions import bigint, groups, maps, numeric, options, sets, strings, vectors
+from .functions import bigint, groups, numeric, options, sets, strings, vectors
 from .functions.selectors import label_selector_matches
-from .plans.fixpoint import fixpoint, reachable
+from .plans.fixpoint import reachable
 from .plans.program import INPUT, OUTPUT, Program
 from .plans.session import Session
+from .registry import ORACLE_SQL, QUERIES, Query, query, table
+from .registry import joined_text as _text
 from .streaming import delayed, differentiate, epoch_rows
+from .streaming import stream_transform as epoch_transform
 from .types import REQUIREMENT
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- cluster objects derived from the tables ------------------------------------------------------------------------------
 
 _SVC = """SELECT n_name AS ns, s_name AS name,
@@ -97,37 +81,34 @@ def cluster_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def _cluster(spark: SparkSession, sf_dir: str, *outputs: str) -> dict[str, DataFrame]:
-    """The program evaluated; of the recursive outputs only those asked for, since they run at once."""
-    p = cluster_program()
-    if "IsPublic" not in outputs:
-        p.rules = [r for r in p.rules if r.head != "IsPublic"]
-    return p.evaluate(spark, cluster_inputs(spark, sf_dir))
+def _cluster(spark: SparkSession, sf_dir: str, output: str) -> DataFrame:
+    """One output relation of the program."""
+    return cluster_program().evaluate(spark, cluster_inputs(spark, sf_dir), only=[output])[output]
 
 
 @query(f"{_VIEWS}, p(ns, name) AS (SELECT ns, name FROM svc WHERE typ = 'LoadBalancer' UNION SELECT s.ns, s.name FROM p JOIN ic ON ic.ns = p.ns AND ic.name = p.name JOIN ing ON ing.ns = p.ns AND ing.name = p.name AND ing.cls = ic.cls JOIN svc s ON s.ns = ing.ns AND s.name = ing.backend) SELECT * FROM p")
 def rule_is_public(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cluster(spark, sf_dir, "IsPublic")["IsPublic"].select(F.col("svc.meta.namespace").alias("ns"), F.col("svc.meta.name").alias("name"))
+    return _cluster(spark, sf_dir, "IsPublic").select(F.col("svc.meta.namespace").alias("ns"), F.col("svc.meta.name").alias("name"))
 
 
 @query(f"{_VIEWS} SELECT svc.ns AS ns, svc.name AS svc, pod.name AS pod FROM svc JOIN pod ON svc.ns = pod.ns AND svc.sel_segment = pod.segment")
 def rule_service_matches_pod(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cluster(spark, sf_dir)["ServiceMatchesPod"].select(F.col("rs.meta.namespace").alias("ns"), F.col("rs.meta.name").alias("svc"), F.col("pod.meta.name").alias("pod"))
+    return _cluster(spark, sf_dir, "ServiceMatchesPod").select(F.col("rs.meta.namespace").alias("ns"), F.col("rs.meta.name").alias("svc"), F.col("pod.meta.name").alias("pod"))
 
 
 @query(f"{_VIEWS}, rs AS (SELECT n_name AS ns, s_name AS name, s_suppkey % 4 AS k, CASE s_suppkey % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' WHEN 2 THEN 'HOUSEHOLD' WHEN 3 THEN 'FURNITURE' ELSE 'AUTOMOBILE' END AS seg FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT rs.ns AS ns, rs.name AS rs, pod.name AS pod FROM rs JOIN pod ON rs.ns = pod.ns WHERE (k = 0 AND segment = seg) OR (k = 1 AND segment <> seg) OR k = 3")
 def rule_replicaset_matches_pod(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cluster(spark, sf_dir)["ReplicaSetMatchesPod"].select(F.col("rs.meta.namespace").alias("ns"), F.col("rs.meta.name").alias("rs"), F.col("pod.meta.name").alias("pod"))
+    return _cluster(spark, sf_dir, "ReplicaSetMatchesPod").select(F.col("rs.meta.namespace").alias("ns"), F.col("rs.meta.name").alias("rs"), F.col("pod.meta.name").alias("pod"))
 
 
 @query(f"{_VIEWS} SELECT DISTINCT node AS name FROM pod")
 def rule_nodes_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cluster(spark, sf_dir)["NodesInUse"]
+    return _cluster(spark, sf_dir, "NodesInUse")
 
 
 @query(f"{_VIEWS} SELECT DISTINCT ing.ns AS ns, ing.name AS ing, svc.name AS svc FROM ing JOIN svc ON svc.ns = ing.ns AND svc.name = ing.backend")
 def rule_ingress_to_service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cluster(spark, sf_dir)["IngressToService"].select(F.col("ing.meta.namespace").alias("ns"), F.col("ing.meta.name").alias("ing"), F.col("svc.meta.name").alias("svc"))
+    return _cluster(spark, sf_dir, "IngressToService").select(F.col("ing.meta.namespace").alias("ns"), F.col("ing.meta.name").alias("ing"), F.col("svc.meta.name").alias("svc"))
 
 
 _MATCHES = f"{_VIEWS}, sel AS (SELECT DISTINCT sel_segment AS seg FROM svc UNION ALL SELECT NULL) SELECT coalesce(seg, '*') AS seg, pod.ns AS ns, pod.name AS pod FROM sel JOIN pod ON seg IS NULL OR seg = segment"
@@ -139,7 +120,7 @@ def _matches(df: DataFrame) -> DataFrame:
 
 @query(_MATCHES)
 def rule_matches_pod(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matches(_cluster(spark, sf_dir)["MatchesPod"])
+    return _matches(_cluster(spark, sf_dir, "MatchesPod"))
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> Session:
@@ -188,15 +169,19 @@ def op_flat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.flat_map(table(spark, sf_dir, "embeddings"), F.col("embedding"), "x", "vec_id")
 
 
-@query("SELECT o_custkey AS key0, o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT o_custkey AS key0, o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 7 <> 0")
 def op_arrange(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.arrange(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), F.col("o_custkey")).select("key0", "o_orderkey")
+    key = F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey"))  # rows without a key go
+    return O.arrange(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), key).select("key0", "o_orderkey")
 
 
-@query("SELECT r_regionkey, r_name FROM region")
+@query("SELECT count(*) AS n, max(o_totalprice) AS most, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS filled FROM orders")
 def op_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    observed, _ = O.inspect(table(spark, sf_dir, "region"), "region_rows")
-    return observed.select("r_regionkey", "r_name")
+    """What was observed of the rows that passed."""
+    filled = F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0))
+    observed, seen = O.inspect(table(spark, sf_dir, "orders"), "orders_seen", n=F.count(F.lit(1)), most=F.max("o_totalprice"), filled=filled)
+    observed.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["n"], seen.get["most"], seen.get["filled"])], "n long, most double, filled long")
 
 
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -250,9 +235,10 @@ def op_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.semijoin(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_totalprice > 300000"), {"c_custkey": "o_custkey"}).select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 250000)")
 def op_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.antijoin(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), {"c_custkey": "o_custkey"}).select("c_custkey")
+    large = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_totalprice > 250000")
+    return O.antijoin(table(spark, sf_dir, "customer"), large, {"c_custkey": "o_custkey"}).select("c_custkey")
 
 
 # --- aggregates -----------------------------------------------------------------------------------------------------------
@@ -265,10 +251,6 @@ def _group(spark: SparkSession, sf_dir: str, **aggregates: Column) -> DataFrame:
     return O.aggregate(rows, ["l_returnflag"], ["l_linestatus", "q"], **aggregates)
 
 
-def _text(array: Column) -> Column:
-    return F.array_join(F.transform(array, lambda x: x.cast("string")), ",")
-
-
 @query(f"SELECT l_returnflag, count(*) AS n, min(q) AS lo, max(q) AS hi FROM {_L} GROUP BY l_returnflag")
 def agg_count_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _group(spark, sf_dir, n=groups.count_distinct("l_linestatus", "q"), lo=groups.minimum("q"), hi=groups.maximum("q"))
@@ -350,7 +332,8 @@ def stream_semijoin_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT epoch, event_type, count(*) AS n FROM (SELECT DISTINCT * FROM {_E}) GROUP BY epoch, event_type")
 def stream_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.aggregate(_events(spark, sf_dir), ["epoch", "event_type"], ["user_id"], n=F.count(F.lit(1)))
+    count = lambda rows: O.aggregate(rows, ["event_type"], ["user_id"], n=F.count(F.lit(1)))
+    return epoch_transform(_events(spark, sf_dir), count, list(range(5))).withColumn("epoch", F.col("epoch").cast("long"))
 
 
 @query(f"SELECT DISTINCT epoch + 1 AS epoch, user_id FROM {_E}")
@@ -371,17 +354,15 @@ def recursion_acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reachable(table(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst")))
 
 
-@query("WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier), e AS (SELECT s_suppkey AS src, (7 * s_suppkey + 3) % n AS dst FROM supplier, n), path(src, dst) AS (SELECT src, dst FROM e WHERE src < 5 UNION SELECT path.src, e.dst FROM path JOIN e ON path.dst = e.src) SELECT * FROM path")
+@query("WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier), e AS (SELECT s_suppkey AS src, (7 * s_suppkey + 3) % n AS dst FROM supplier, n), path(src, dst) AS (SELECT src, dst FROM e UNION SELECT path.src, e.dst FROM path JOIN e ON path.dst = e.src) SELECT * FROM path")
 def recursion_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier")
     n = supplier.count()
     edges = supplier.select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 7 + 3) % n).alias("dst"))
-    step = edges.toDF("a", "b")
-    rule = ("path", ["path"], lambda s: s["path"].join(step, F.col("dst") == F.col("a")).select("src", F.col("b").alias("dst")))
-    return fixpoint({"path": edges.where("src < 5")}, [rule])["path"]
+    return reachable(edges)
 
 
-@query("WITH RECURSIVE e AS (SELECT p_partkey // 3 AS parent, p_partkey AS child FROM part WHERE p_partkey BETWEEN 1 AND 60), anc(a, d) AS (SELECT parent, child FROM e UNION SELECT e.parent, anc.d FROM e JOIN anc ON e.child = anc.a) SELECT x.d AS p, y.d AS q FROM anc x JOIN anc y ON x.a = y.a WHERE x.d <> y.d AND NOT EXISTS (SELECT 1 FROM anc z WHERE z.a = x.d AND z.d = y.d) AND NOT EXISTS (SELECT 1 FROM anc z WHERE z.a = y.d AND z.d = x.d) GROUP BY x.d, y.d")
+@query("WITH RECURSIVE e AS (SELECT p_partkey // 16 AS parent, p_partkey AS child FROM part WHERE p_partkey >= 16), anc(a, d) AS (SELECT parent, child FROM e UNION SELECT e.parent, anc.d FROM e JOIN anc ON e.child = anc.a) SELECT x.d AS p, y.d AS q FROM anc x JOIN anc y ON x.a = y.a WHERE x.d <> y.d AND NOT EXISTS (SELECT 1 FROM anc z WHERE z.a = x.d AND z.d = y.d) AND NOT EXISTS (SELECT 1 FROM anc z WHERE z.a = y.d AND z.d = x.d) GROUP BY x.d, y.d")
 def recursion_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Program()
     pair = lambda a, b: T.StructType([T.StructField(a, T.LongType()), T.StructField(b, T.LongType())])
@@ -397,8 +378,8 @@ def recursion_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
         return O.antijoin(O.antijoin(pairs, s["Ancestor"], {"p": "a", "q": "d"}), s["Ancestor"], {"q": "a", "p": "d"})
 
     p.rule("Common", ["Ancestor"], common, negated=["Ancestor"])
-    parts = table(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 60")
-    return p.evaluate(spark, {"Parent": parts.select(F.expr("p_partkey div 3").alias("parent"), F.col("p_partkey").alias("child"))})["Common"]
+    parts = table(spark, sf_dir, "part").where("p_partkey >= 16")  # the others are roots
+    return p.evaluate(spark, {"Parent": parts.select(F.expr("p_partkey div 16").alias("parent"), F.col("p_partkey").alias("child"))})["Common"]
 
 
 # --- transactions ---------------------------------------------------------------------------------------------------------
@@ -535,17 +516,6 @@ def fn_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT c_custkey, c_mktsegment AS seg, CAST(NULL AS VARCHAR) AS missing, true AS has, CAST(2 AS BIGINT) AS n, 'seg,zone' AS ks, concat(c_mktsegment, ',eu') AS vs,
-  'x' AS wins FROM customer""")
-def fn_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = maps.insert(maps.singleton(F.lit("zone"), F.lit("eu")), F.lit("seg"), F.col("c_mktsegment"))
-    won = maps.union(m, maps.singleton(F.lit("seg"), F.lit("x")))
-    return table(spark, sf_dir, "customer").select(
-        "c_custkey", maps.get(m, F.lit("seg")).alias("seg"), maps.get(m, F.lit("none")).alias("missing"), maps.contains_key(m, F.lit("zone")).alias("has"),
-        maps.size(m).alias("n"), F.array_join(maps.keys(m), ",").alias("ks"), F.array_join(maps.values(m), ",").alias("vs"), maps.get(won, F.lit("seg")).alias("wins"),
-    )
-
-
 @query("""SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal * 2 END AS twice, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0) AS kept,
   NOT c_acctbal > 0 AS gone, CASE WHEN NOT c_acctbal > 0 THEN 'negative' END AS err, CAST(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS INTEGER) AS n FROM customer""")
 def fn_option(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -557,12 +527,6 @@ def fn_option(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
-def fn_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.col("p_name")
-    return table(spark, sf_dir, "part").select("p_partkey", strings.hash32(name).alias("h32"), strings.hash64(name).alias("h64"), strings.hash128(name).alias("h128"))
-
-
 @query("SELECT o_orderkey, CAST(CAST(o_orderkey AS HUGEINT) * 1000000007 * 1000003 AS VARCHAR) AS prod, CAST(o_orderkey // 7 AS VARCHAR) AS quot, CAST(o_orderkey % 7 AS VARCHAR) AS rem FROM orders")
 def fn_bigint(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
@@ -572,23 +536,31 @@ def fn_bigint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""{_VIEWS}, seen AS (SELECT name, segment, tier FROM pod) SELECT name, segment IN ('BUILDING', 'MACHINERY') AS is_in, segment NOT IN ('BUILDING') AS not_in,
-  true AS there, true AS absent, false AS none, true AS every, segment = 'BUILDING' AND tier = 'low' AS both FROM seen""")
+@query("""SELECT c_custkey, seg IN ('BUILDING', 'MACHINERY') AS is_in, seg <> 'BUILDING' AS not_in, odd AS there, NOT odd AS absent, NOT odd OR seg <> 'BUILDING' AS not_in_or_absent, false AS none, true AS every,
+  seg = 'BUILDING' AND low AS both, seg = 'BUILDING' AND odd AS mixed FROM (SELECT c_custkey, c_mktsegment AS seg, c_custkey % 2 = 1 AS odd, c_acctbal < 0 AS low FROM customer)""")
 def selector_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pods = cluster_inputs(spark, sf_dir)["Pod"]
-    labels = F.col("meta.labels")
+    """Labels segment and tier of every customer, and of every other one zone (the segment)."""
+    segment, tier = F.col("c_mktsegment"), F.when(F.col("c_acctbal") < 0, "low").otherwise("high")
+    labels = F.when(F.col("c_custkey") % 2 == 1, _labels(segment=segment, tier=tier, zone=segment)).otherwise(_labels(segment=segment, tier=tier))
     empty_map, no = F.array().cast("array<struct<key:string,value:string>>"), F.array().cast("array<string>")
+    listed = lambda *v: F.array(*map(F.lit, v))
 
-    def one(key: str, op: str, values: Column) -> Column:
-        need = F.array(F.struct(F.lit(key).alias("reqkey"), F.lit(op).alias("operator"), values.alias("values")))
-        return label_selector_matches(F.struct(empty_map.alias("matchLabels"), need.alias("matchExpressions")), labels)
+    def need(key: str, op: str, values: Column) -> Column:
+        return F.array(F.struct(F.lit(key).alias("reqkey"), F.lit(op).alias("operator"), values.alias("values")))
 
-    listed = lambda *v: F.array(*map(F.lit, v))
-    empty = F.struct(empty_map.alias("matchLabels"), _no_requirements().alias("matchExpressions"))
-    two = F.struct(_labels(segment=F.lit("BUILDING"), tier=F.lit("low")).alias("matchLabels"), _no_requirements().alias("matchExpressions"))
-    missing = F.when(F.lit(False), empty)
-    return pods.select(
-        F.col("meta.name").alias("name"), one("segment", "In", listed("BUILDING", "MACHINERY")).alias("is_in"), one("segment", "NotIn", listed("BUILDING")).alias("not_in"),
-        one("tier", "Exists", no).alias("there"), one("zone", "DoesNotExist", no).alias("absent"), label_selector_matches(missing, labels).alias("none"),
-        label_selector_matches(empty, labels).alias("every"), label_selector_matches(two, labels).alias("both"),
+    def matches(named: Column, needs: Column) -> Column:
+        return label_selector_matches(F.struct(named.alias("matchLabels"), needs.alias("matchExpressions")), labels)
+
+    building = _labels(segment=F.lit("BUILDING"))
+    missing = F.when(F.lit(False), F.struct(empty_map.alias("matchLabels"), _no_requirements().alias("matchExpressions")))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", matches(empty_map, need("segment", "In", listed("BUILDING", "MACHINERY"))).alias("is_in"), matches(empty_map, need("segment", "NotIn", listed("BUILDING"))).alias("not_in"),
+        matches(empty_map, need("zone", "Exists", no)).alias("there"), matches(empty_map, need("zone", "DoesNotExist", no)).alias("absent"),
+        matches(empty_map, need("zone", "NotIn", listed("BUILDING"))).alias("not_in_or_absent"), label_selector_matches(missing, labels).alias("none"), matches(empty_map, _no_requirements()).alias("every"),
+        matches(_labels(segment=F.lit("BUILDING"), tier=F.lit("low")), _no_requirements()).alias("both"), matches(building, need("zone", "Exists", no)).alias("mixed"),
     )
+
+
+from . import function_queries, session_queries  # noqa: E402, F401  (they register theirs)
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -8,12 +8,17 @@ relation is prefix + table name with its first letter in upper case. Cells: text
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import literal
+from ..plans.session import Session
+from ..types import default_of
+
 MAX_CELL = (1 << 64) - 1
 
 
@@ -87,6 +92,24 @@ def cell(value: object) -> object:
     raise FeedError(f"unexpected cell {value!r}")
 
 
+def apply(session: Session, updates: Iterable[Update]) -> None:
+    """Updates as calls on a session with an open transaction. Relations have the row's uuid as key; cells that a row leaves
+    out have their type's default, and cells without a column are left out. Updates of one kind and relation that follow
+    each other are one call."""
+    for (op, relation), group in groupby(updates, lambda u: (u.op, u.relation)):
+        schema = session._input(relation).schema
+        found = list(group)
+        if op == "delete_key":
+            session.delete_key(relation, [u.key for u in found])
+        elif op == "insert":
+            session.insert(relation, [tuple(u.row.get(f.name, default_of(f.dataType)) for f in schema) for u in found])
+        else:
+            cells = lambda u: {f.name: u.row[f.name] for f in schema if f.name in u.row}
+            for _, alike in groupby(sorted(found, key=lambda u: json.dumps(cells(u), sort_keys=True)), lambda u: json.dumps(cells(u), sort_keys=True)):
+                rows = list(alike)
+                session.modify(relation, [u.key for u in rows], {n: literal(v, schema[n].dataType) for n, v in cells(rows[0]).items()})
+
+
 def changes_to_json(table: str, changes: DataFrame, weight: str = "__w", key: str = "_uuid") -> DataFrame:
     """One JSON statement (column ``statement``) for each changed row: insert, delete, or update where a key has both."""
     columns = [c for c in changes.columns if c not in (weight, key, "uuid_name")]

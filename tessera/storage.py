@@ -8,13 +8,17 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session. Where it is unset a local folder serves in local mode, as in tests; on a cluster
+    executors would not share it, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -55,6 +59,13 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return back
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``written``, and the number of rows, observed as they are written."""
+    seen = Observation()
+    back = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return back, seen.get["n"]
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is not None and not context._jsc.sc().isStopped():
