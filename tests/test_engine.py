@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera import operators as O
+from tessera import types as S
 from tessera.cluster import program as cluster_program
 from tessera.functions import maps, numeric, strings, vectors
 from tessera.plans.commands import Interpreter, ParseError, Parser, Struct
-from tessera.plans.program import INPUT, MULTISET, OUTPUT, Program
+from tessera.plans.fixpoint import fixpoint
+from tessera.plans.program import INPUT, MULTISET, OUTPUT, STREAM, Program
 from tessera.plans.session import Session, UpdateError
 from tessera.sources import updates_from_json
 from tessera.sources.jsonfeed import FeedError
@@ -59,6 +61,85 @@ def test_pow_wraps(spark, bits, signed):
     assert int(one(spark, numeric.pow32(F.lit(7), F.lit(41), bits, signed))) == want
 
 
+@pytest.mark.parametrize("bits,signed", [(8, True), (32, False), (64, False), (64, True)])
+def test_pow_of_large_numbers(spark, bits, signed):
+    bases, exponents = [-3, 2**63 - 1, 2**31 - 1, 10**18 + 7], [0, 1, 3, 2_000_000_000, 2**32 - 1]
+    rows = [(b, e) for b in bases for e in exponents] + [(None, 1), (1, None)]
+    got = spark.createDataFrame(rows, "b long, e long").select("b", "e", numeric.pow32(F.col("b"), F.col("e"), bits, signed).cast("string").alias("p")).collect()
+    for b, e, p in got:
+        want = None if b is None or e is None else pow(b, e, 1 << bits)
+        assert p == (None if want is None else str(want - (1 << bits) if signed and want >= 1 << (bits - 1) else want))
+
+
+def test_rules_that_use_a_relation_twice(spark):
+    pairs = [(i, i + 1) for i in range(30)] + [(30, 5), (40, 41)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    body = lambda s: s["path"].toDF("x", "y").join(s["path"], F.col("y") == F.col("a")).select(F.col("x").alias("a"), "b")
+    got = {tuple(r) for r in fixpoint({"path": edges}, [("path", ["path"], body)])["path"].collect()}
+    want = set(pairs)
+    while True:
+        more = want | {(a, d) for a, b in want for c, d in pairs if b == c}
+        if more == want:
+            break
+        want = more
+    assert got == want and len(fixpoint({"path": edges.limit(0)}, [("path", ["path"], body)])["path"].collect()) == 0
+
+
+def test_weights_are_multiplied(spark):
+    left = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "x long, __w long")
+    right = spark.createDataFrame([(1, 5), (1, -1), (2, 1), (2, -1)], "y long, __w long")
+    assert values(O.consolidate(O.equi_join(left, right, {"x": "y"}).drop("y"))) == [(1, 8)]
+    assert values(O.semijoin(left, right, {"x": "y"})) == [(1, 8)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_selected_pods_against_every_pair(spark, seed):
+    """The label index against the predicate on all pairs."""
+    import random
+
+    r = random.Random(seed)
+    keys, vals = "abc", "xyz"
+    pods = [((f"n{r.randrange(3)}", f"p{i}", sorted({k: (k, r.choice(vals)) for k in keys if r.random() < 0.6}.values()), []), (f"node{i % 2}",), ("Running",)) for i in range(40)]
+
+    def requirement():
+        op = r.choice(["In", "NotIn", "Exists", "DoesNotExist"])
+        return r.choice(keys), op, [r.choice(vals) for _ in range(r.randrange(3))] if op in ("In", "NotIn") else []
+
+    selectors = [([], [])] + [(sorted({k: (k, r.choice(vals)) for k in keys if r.random() < 0.4}.values()), [requirement() for _ in range(r.choice([0, 0, 1, 2]))]) for _ in range(25)]
+    owners = [((f"n{r.randrange(3)}", f"s{i}", [], []), ("ClusterIP", s if i else None)) for i, s in enumerate(selectors)]
+
+    def matches(selector, labels):
+        if selector is None:
+            return False
+        held = dict(labels)
+        ok = {"In": lambda k, v: held.get(k) in v, "NotIn": lambda k, v: held.get(k) not in v, "Exists": lambda k, v: k in held, "DoesNotExist": lambda k, v: k not in held}
+        return all(held.get(k) == v for k, v in selector[0]) and all(ok[op](k, v) for k, op, v in selector[1])
+
+    state = cluster_program().evaluate(spark, {
+        "Pod": spark.createDataFrame(pods, S.POD), "Service": spark.createDataFrame(owners, S.SERVICE), "ReplicaSet": spark.createDataFrame([], S.REPLICA_SET), "Ingress": spark.createDataFrame([], S.INGRESS),
+        "IngressController": spark.createDataFrame([], S.CONTROLLER), "Selectors": spark.createDataFrame([(s,) for s in selectors[1:]], T.StructType([T.StructField("s", S.SELECTOR)])).distinct(),
+    })
+    got = sorted((x["rs"]["meta"]["name"], x["pod"]["meta"]["name"]) for x in state["ServiceMatchesPod"].collect())
+    assert got == sorted((o[0][1], p[0][1]) for o in owners for p in pods if o[0][0] == p[0][0] and matches(o[1][1], p[0][2]))
+    distinct = {json.dumps(s): s for s in selectors}.values()
+    assert state["MatchesPod"].count() == sum(matches(s, p[0][2]) for s in distinct for p in pods)
+
+
+def test_delayed_relations_that_feed_themselves(spark):
+    p = Program()
+    p.relation("Now", LONG, kind=INPUT, caching=STREAM)
+    p.relation("Ever", LONG, kind=OUTPUT)
+    p.rule("Ever", ["Now"], lambda s: s["Now"])
+    p.rule("Ever", ["Ever-1"], lambda s: s["Ever-1"])
+    s = Session(spark, p)
+    for i in range(4):
+        s.start()
+        s.insert("Now", [(i,)])
+        s.commit()
+    assert values(s.relation("Ever")) == [(0,), (1,), (2,), (3,)] and values(s.relation("Now")) == [(3,)]
+    assert values(s.relation("Ever", delay=2)) == [(0,), (1,)]
+
+
 def test_vectors_and_maps(spark):
     lit = F.lit
     assert one(spark, numeric.range_vec(lit(0), lit(5), lit(2))) == [0, 2, 4]
