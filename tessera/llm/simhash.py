@@ -6,8 +6,10 @@ whole sequence as one shingle; a text without words has fingerprint zero.
 
 Two searches share the trees:
 
-* ``link_fingerprints``: fingerprints that differ in at most ``radius`` bits. The bits are cut into radius + 1 blocks; two
-  such fingerprints agree in one block at least, so one tree for each block and value finds every link.
+* ``link_fingerprints``: fingerprints that differ in at most ``radius`` bits. The bits are cut into radius + e blocks; two
+  such fingerprints agree in e blocks at least, so one tree for each choice of e blocks and their value finds every link.
+  e is the least from 1 to 3 whose keys have bits enough that trees of evenly spread fingerprints stay small: more of them
+  need longer keys, or trees would grow with the corpus.
 * ``near_duplicates``: texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Trees are sharded
   by ``anchors`` min-hash values (two texts of similarity s share a shard with probability 1 - (1 - s)**anchors, 99.8 %
   at 0.8 and 4), searched with a wide radius of fingerprints that count each distinct shingle once, and each link found is confirmed on the whole shingle sets.
@@ -24,11 +26,12 @@ repeated rows are linked like copies; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import Forest, Union, neighbours
@@ -160,12 +163,21 @@ def _tree_pairs(prints: np.ndarray, number: np.ndarray, side: np.ndarray, radius
         yield x[x != y], y[x != y]
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = 3, block_rows: int = 4096) -> DataFrame:
+def _block_keys(radius: int, equal: int) -> tuple[Column, int]:
+    """For each choice of ``equal`` of radius + equal blocks of a fingerprint a key of their bits; and how many bits at least."""
+    blocks = radius + equal
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    part = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+    keys = [F.xxhash64(F.lit(i), *[part[p] for p in pick]) for i, pick in enumerate(combinations(range(blocks), equal))]
+    return F.array(*keys), equal * (64 // blocks)
+
+
+def link_fingerprints(distinct: DataFrame, radius: int = 3, block_rows: int = 4096, equal: int | None = None) -> DataFrame:
     """distinct: fp (signed longs, each once). Links a, b that connect exactly what is within the radius."""
-    blocks = radius + 1
-    width = 64 // blocks
-    part = [F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << (width if i < radius else 64 - width * radius)) - 1)) for i in range(blocks)]
-    shards = F.explode(F.array(*[F.xxhash64(F.lit(i), p) for i, p in enumerate(part)]))
+    if equal is None:
+        count = distinct.count()
+        equal = next((e for e in (1, 2) if count >> _block_keys(radius, e)[1] <= block_rows // 16), 3)
+    shards = F.explode(_block_keys(radius, equal)[0])
     rows = _blocked(distinct.select(F.col("fp").alias("node"), shards.alias("shard")), block_rows)
 
     def run(columns: dict[str, list], number: np.ndarray) -> Iterator[tuple]:
@@ -306,5 +318,4 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     marked = docs.select(row, class_of(F.col(f"`{text_col}`").cast("string")).alias("cls"), F.col(f"`{id_col}`").cast("long").alias("id"))
     met = marked.join(stays, (F.col("cls") == F.col("c")) & F.col("id").eqNullSafe(F.col("i")))
-    rank = F.row_number().over(Window.partitionBy("cls", "id").orderBy("cls"))
-    return met.withColumn("rank", rank).where("rank = 1").select("row.*")
+    return met.dropDuplicates(["cls", "id"]).select("row.*")  # equal rows are combined before the shuffle
