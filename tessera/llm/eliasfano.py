@@ -149,7 +149,7 @@ class Trie:
             EliasFano.of((ranks << _U(WORD_BITS)) | words.astype(_U), max(len(contexts), 1) << WORD_BITS),
         )
         arrays = [a for x in levels for a in (x.low, x.high, x.zeros)] + [quantise(probabilities), quantise(weights)]
-        handle, self.path = tempfile.mkstemp(prefix="trie-")
+        handle, path = tempfile.mkstemp(prefix="trie-")
         places = []
         with os.fdopen(handle, "wb") as f:
             for a in arrays:
@@ -157,8 +157,9 @@ class Trie:
                 f.write(a.tobytes() + bytes(-a.nbytes % 8))
             self.bytes = f.tell()
         mapped = [
-            np.memmap(self.path, a.dtype, "r", place, a.shape) if a.size else a for a, place in zip(arrays, places)
+            np.memmap(path, a.dtype, "r", place, a.shape) if a.size else a for a, place in zip(arrays, places)
         ]
+        os.unlink(path)  # the mapping keeps the file's content; nothing is left behind if the worker dies
         self.levels = [EliasFano(x.n, x.width, *mapped[3 * i : 3 * i + 3]) for i, x in enumerate(levels)]
         self.codes, self.weights = mapped[9], mapped[10]
 
@@ -180,6 +181,3 @@ class Trie:
         index, equal = self.levels[2].successor(bases | words.astype(_U), np.repeat(first, counts), np.repeat(last, counts))
         out[equal] = self.codes[index[equal]]
         return out
-
-    def close(self) -> None:
-        os.unlink(self.path)

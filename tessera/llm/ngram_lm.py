@@ -10,9 +10,11 @@ Words are known by 63 bits of XXH64, and by 40 bits below their context (chance
 
 How it scales. One pass turns the texts into chunks of at most ``chunk_tokens`` tokens: distinct words, distinct pairs with
 training counts, and for each token the number of its pair. Chunks, not rows, are shuffled: the pairs of a chunk go to
-shards by their context, so counts are combined before the shuffle. Each shard merges its slices into a trie in a
-memory-mapped file, answers all chunks by successor search, and drops it. Contexts with more than 1/(4 shards) of all
-training tokens are split over all shards by the following word. Nothing that grows with the corpus reaches the driver.
+shards by their context, so counts are combined before the shuffle; a chunk sends nothing to shards that it has no pair
+for. There are as many shards as hold ``shard_tokens`` tokens each, so a shard's memory does not grow with the corpus. Each
+shard merges its slices into a trie in a memory-mapped file, answers all chunks by successor search, and drops it. Contexts
+with over a quarter of a shard's tokens are split over all shards by the following word. Of the corpus only those hot
+contexts (at most 4 for each shard) and sums reach the driver.
 
 Defined cases: a null text is empty and scores its end token; repeated rows are scored and counted each; a null fold flag
 means not in training; with no training token at all every count is 0; an empty table gives an empty result.
@@ -42,6 +44,10 @@ BEGIN = xxhash.xxh64_intdigest(b" begin") >> 1
 _LOW = np.uint64((1 << WORD_BITS) - 1)
 
 
+#: Taken from the fold of rows whose id is null.
+_NO_ID = 8
+
+
 def squeeze(values: np.ndarray, dtype: str) -> bytes:
     """Compressed byte planes: the high bytes of small numbers take next to nothing."""
     wide = np.ascontiguousarray(values.astype(dtype))
@@ -77,7 +83,7 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _CHUNK = {
-    "kind": pa.string(), "chunk": pa.int64(), "trained": pa.int64(), "begun": pa.int64(), "vocabulary": pa.binary(),
+    "kind": pa.string(), "chunk": pa.int64(), "tokens": pa.int64(), "trained": pa.int64(), "begun": pa.int64(), "vocabulary": pa.binary(),
     "word_counts": pa.binary(), "successors": pa.binary(), "next_words": pa.binary(), "pair_counts": pa.binary(),
     "pairs": pa.binary(), "rows": pa.binary(), "ids": pa.binary(), "folds": pa.binary(), "lengths": pa.binary(),
 }
@@ -92,7 +98,7 @@ def _chunk(number: int, tokens: np.ndarray, before: np.ndarray, train: np.ndarra
     count = np.bincount(which[train], minlength=len(pairs))
     empty = dict.fromkeys(_CHUNK)
     counts = empty | {
-        "kind": "counts", "chunk": number, "trained": int(train.sum()), "begun": int((train & (before == BEGIN)).sum()),
+        "kind": "counts", "chunk": number, "tokens": len(tokens), "trained": int(train.sum()), "begun": int((train & (before == BEGIN)).sum()),
         "vocabulary": squeeze(vocabulary, "<u8"),
         "word_counts": squeeze(np.bincount(word[train], minlength=len(vocabulary)), "<u4"),
         "successors": squeeze(np.bincount(pairs >> 32, minlength=len(vocabulary)), "<u4"),
@@ -118,7 +124,7 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
         def emit() -> pa.RecordBatch:
             nonlocal number, held, size
             tokens, before = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            train = np.repeat(np.array([h[4] == 1 for h in held]), [len(h[0]) for h in held])
+            train = np.repeat(np.array([h[4] in (1, 1 - _NO_ID) for h in held]), [len(h[0]) for h in held])
             made = _chunk(number, tokens, before, train, [(h[2], h[3], h[4], len(h[0])) for h in held])
             number, held, size = number + 1, [], 0
             return pa.RecordBatch.from_pylist(made, pa.schema(list(_CHUNK.items())))
@@ -134,7 +140,7 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
                 at = start
                 while at < start + count:
                     stop = min(start + count, at + chunk_tokens - size)
-                    held.append((tokens[at:stop], before[at:stop], row, -(1 << 63) if i is None else i, fold))
+                    held.append((tokens[at:stop], before[at:stop], row, i or 0, fold if i is not None else fold - _NO_ID))
                     size, at = size + stop - at, stop
                     if size >= chunk_tokens:
                         yield emit()
@@ -252,15 +258,12 @@ def _look_up_pairs(counts: DataFrame, shards: int, hot: np.ndarray, hot_counts:
         ]
         shard = table.column("shard")[0].as_py()
         trie, hot_types = _build([x[1:] for x in rows], hot, hot_counts)
-        try:
-            out = [{"shard": shard, "chunk": -1, "codes": None, "weights": None, "hot_types": squeeze(hot_types, "<i8")}]
-            for chunk, contexts, successors, words, _ in rows:
-                ranks, there = trie.find(contexts)
-                codes = trie.query(ranks, there, successors, words)
-                weights = np.where(there, trie.weights[np.where(there, ranks, 0)], 0) if len(trie.weights) else np.zeros(len(ranks))
-                out.append({"shard": shard, "chunk": chunk, "codes": squeeze(codes, "<u2"), "weights": squeeze(weights, "<u2"), "hot_types": None})
-        finally:
-            trie.close()
+        out = [{"shard": shard, "chunk": -1, "codes": None, "weights": None, "hot_types": squeeze(hot_types, "<i8")}]
+        for chunk, contexts, successors, words, _ in rows:
+            ranks, there = trie.find(contexts)
+            codes = trie.query(ranks, there, successors, words)
+            weights = np.where(there, trie.weights[np.where(there, ranks, 0)], 0) if len(trie.weights) else np.zeros(len(ranks))
+            out.append({"shard": shard, "chunk": chunk, "codes": squeeze(codes, "<u2"), "weights": squeeze(weights, "<u2"), "hot_types": None})
         return _answers(out, _FOUND)
 
     names = ("chunk", "vocabulary", "successors", "next_words", "pair_counts")
@@ -347,7 +350,7 @@ def _score_chunk(counts: dict, tokens: dict, words: list[dict], found: list[dict
     return pa.table([pa.array(c, t) for c, t in zip(columns, _SCORE.values())], names=list(_SCORE))
 
 
-def score(docs: DataFrame, train: Column, text_col: str = "text", id_col: str = "doc_id", chunk_tokens: int = 3 << 19) -> DataFrame:
+def score(docs: DataFrame, train: Column, text_col: str = "text", id_col: str = "doc_id", chunk_tokens: int = 3 << 19, shard_tokens: int = 1 << 21) -> DataFrame:
     """Scores every row of docs with the model of the rows where ``train`` holds.
 
     Returns doc_id, train (as given), n_tokens, n_known, train_tokens, base_score (the unigram's log10 probability) and
@@ -355,12 +358,12 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", id_col: str =
     """
     spark = docs.sparkSession
     short_batches(spark)
-    shards = partitions(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), train.alias("_train"))
     chunks = written(_chunks(rows, chunk_tokens), "kind")
     counts, tokens = (chunks.where(F.col("kind") == k) for k in ("counts", "tokens"))
-    sums = counts.agg(F.sum("trained").alias("n"), F.sum("begun").alias("begun")).first()
+    sums = counts.agg(F.sum("trained").alias("n"), F.sum("begun").alias("begun"), F.sum("tokens").alias("tokens")).first()
     n, begun = sums["n"] or 0, sums["begun"] or 0
+    shards = max(partitions(spark), -(-(sums["tokens"] or 0) // shard_tokens))
     hot_count = max(1000.0, n / (4 * shards))
 
     words = written(_count_words(counts, shards, hot_count))
@@ -396,7 +399,7 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", id_col: str =
         F.first("doc_id").alias("doc_id"), F.first("fold").alias("fold"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     )  # a long text may lie in several chunks
     return summed.select(
-        F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"),
-        F.when(F.col("fold") >= 0, F.col("fold") == 1).alias("train"),
+        F.when(F.col("fold") >= -1, F.col("doc_id")).alias("doc_id"),
+        F.when(F.col("fold").isin(0, 1, -_NO_ID, 1 - _NO_ID), F.col("fold").isin(1, 1 - _NO_ID)).alias("train"),
         "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
     )
