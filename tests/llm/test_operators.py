@@ -157,10 +157,12 @@ def test_edited_texts_of_odd_rows(spark):
     assert len(one) == 1 and one[0]["near_next"] == one[0]["near_edited"] == 1.0
 
 
-@pytest.mark.parametrize("chunk", [1 << 21, 100])
-def test_language_model(docs, empty, chunk):
+@pytest.mark.parametrize("chunk,shard", [(1 << 21, 1 << 21), (100, 1 << 21), (500, 700)])
+def test_language_model(docs, empty, chunk, shard):
     trained = F.col("doc_id") % 5 != 0
-    got = ngram_lm.score(docs, trained, chunk_tokens=chunk).collect()
+    got = ngram_lm.score(docs, trained, chunk_tokens=chunk, shard_tokens=shard).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in docs.collect())
+    assert all(r["train"] == (None if r["doc_id"] is None else r["doc_id"] % 5 != 0) for r in got)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     count, pairs, context, types = Counter(), Counter(), Counter(), Counter()
     for key, t in rows:
@@ -248,6 +250,27 @@ def test_simhash_links(docs, empty):
     assert simhash.near_fingerprints(empty).count() == 0
 
 
+@pytest.mark.parametrize("equal", [1, 2, 3])
+def test_fingerprint_links_by_any_number_of_blocks(spark, equal):
+    chance = random.Random(equal)
+    base = [chance.getrandbits(64) for _ in range(60)] + [0, (1 << 64) - 1]
+    prints = {x ^ sum(1 << b for b in chance.sample(range(64), n)) for x in base for n in (0, 1, 2, 3, 4)}
+    signed = {p: p - (1 << 64) if p >> 63 else p for p in prints}
+    links = simhash.link_fingerprints(spark.createDataFrame([(s,) for s in signed.values()], "fp long"), equal=equal).collect()
+    root = {p: p for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in links:
+        a, b = r["a"] % (1 << 64), r["b"] % (1 << 64)
+        assert bin(a ^ b).count("1") <= 3
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a in prints for b in prints if bin(a ^ b).count("1") <= 3)
+
+
 @pytest.mark.parametrize("block_rows", [4096, 3])
 def test_near_duplicates(spark, empty, block_rows):
     base = prose(200, 1).split(" ")
@@ -582,6 +605,102 @@ def test_decontamination_by_very_short_items(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()) == [1, 3, 6, 7, 8]
 
 
+UNITS = decontaminate.UNITS.split()
+
+
+def plain_forms(text):
+    """The forms of a text as lists of words and of template words."""
+    marked = "".join(c + "^" if c == " " and i and (text[i - 1].isalnum() or text[i - 1] in ",;:") and text[i + 1 : i + 2].isupper() and text[i + 2 : i + 3].isalpha() else c for i, c in enumerate(text))
+    words = "".join(c if c.isalnum() or c == "^" else " " for c in marked).lower().split()
+
+    def merged(words, joins):
+        out = []
+        for w in words:
+            if out and joins(out[-1], w):
+                out[-1] += "_" + w
+            else:
+                out.append(w)
+        return out
+
+    def template(words):
+        out = [re.sub(r"[0-9]+(?:_[0-9]+)*", "#", "^" if "^" in w else w) for w in words]
+        return ["~" if i and out[i - 1].endswith("#") and w in UNITS else w for i, w in enumerate(out)]
+
+    words = merged(words, lambda a, b: a.replace("_", "").isdigit() and b.isdigit())
+    plain = [w.replace("^", "") for w in words]
+    if plain == words:
+        return [(2, words, template(words))]
+    named = merged(words, lambda a, b: a.startswith("^") and b.startswith("^"))
+    return [(0, named, template(named)), (1, plain, template(plain))]
+
+
+def plain_found(docs, items):
+    """What find_items gives, by comparing every window with every window: (doc, item) -> its best rating."""
+    best = {}
+    for item, content in items.items():
+        for bkind, braw, bcanon in plain_forms(content or ""):
+            size = min(len(braw), 8)
+            at = [i for i in range(len(braw) - size + 1) if sum(not re.search("[#^~]", w) for w in bcanon[i : i + size]) >= min(4, size)] if len(braw) >= 4 else []
+            for doc, text in docs.items():
+                groups = {}
+                for kind, raw, canon in plain_forms(text or ""):
+                    if kind + bkind == 1:
+                        continue
+                    for pos in range(len(raw) - size + 1):
+                        for b in at:
+                            if canon[pos : pos + size] == bcanon[b : b + size]:
+                                pairs = [(b + i, braw[b + i], raw[pos + i]) for i in range(size) if re.search("[#^~]", bcanon[b + i])]
+                                for stretch in ((pos - b) // 16, (pos - b) // 16 + 1):
+                                    groups.setdefault((min(kind, bkind), stretch), []).append((b, pos - b, pairs))
+                for hits in groups.values():
+                    pairs = {p for *_, ps in hits for p in ps}
+                    changed = {(b, d) for _, b, d in pairs if b != d}
+                    clashing = {place for place, b, d in pairs if b != d and any(x == b and y != d for x, y in changed)}
+                    consistent = len(clashing) <= 0.2 * len({place for place, *_ in pairs})
+                    matched, same = len({b for b, *_ in hits}), len({b for b, _, ps in hits if all(x == y for _, x, y in ps)})
+                    held = consistent and matched / len(at) >= 0.5 or same / len(at) >= 2 / 3
+                    rating = (held, matched / len(at), consistent, -min(s for _, s, _ in hits), matched, len(at), len(changed))
+                    best[doc, item] = max(best.get((doc, item), rating), rating)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_decontamination_against_every_window(spark, seed):
+    r = random.Random(seed)
+    common = VOCABULARY[:25]
+    slots = {"#": lambda: r.choice(["5", "1,250.5", "120", "7", "12 000"]), "^": lambda: r.choice(["Anna", "Mary Ann Smith", "New York", "Otto"]), "~": lambda: r.choice(["3 km", "9 kilometers", "2.5 mm", "40 percent"])}
+
+    def pattern(n):
+        return [r.choice(common) if r.random() < 0.75 else r.choice("#^~") for _ in range(n)]
+
+    fill = lambda words: " ".join(slots[w]() if w in slots else w for w in words)
+    patterns = {i: pattern(r.choice([4, 6, 9, 14, 25, 40])) for i in range(12)}
+    items = {i: fill(p) + "." for i, p in patterns.items()} | {50: None, 51: ""}
+    docs = {}
+    for i in range(40):
+        words = list(r.choice(list(patterns.values())))
+        for _ in range(r.choice([0, 0, 1, 3])):
+            words[r.randrange(len(words))] = r.choice(common)
+        if r.random() < 0.3:
+            words.insert(r.randrange(len(words)), "also")
+        body = items[r.randrange(12)] if r.random() < 0.4 else fill(words)
+        docs[i] = f"{prose(r.choice([0, 12, 30]), 4000 + i)} {r.choice([str, str.upper, str.title, str.lower])(body)}, {' '.join(r.choice(common) for _ in range(r.choice([0, 30])))}"
+    docs |= {90: None, 91: "", 92: docs[3]}
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in docs.items()], DOC).withColumnRenamed("cls", "item_id").withColumnRenamed("lang", "words").repartition(3)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["contaminated"], x["coverage"], x["consistent"], x["matched"], x["windows"], x["slots"]) for x in decontaminate.find_items(df, bench).collect()}
+    want = {k: (*v[:3], *v[4:]) for k, v in plain_found(docs, items).items()}
+    assert got == want and sum(v[0] for v in want.values()) > 15 and not all(v[0] for v in want.values())
+
+
+@pytest.mark.parametrize("change", [("120", "1,250.5"), ("Anna", "Mary Ann Smith"), ("km", "kilometers"), ("9", "eleven hundred and 9")])
+def test_decontamination_of_a_reparameterised_item(spark, change):
+    item = "A train leaves the station at 9 and travels 120 km before it meets the slow bus of Anna near the old river bridge"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(0, prose(30, 1) + " " + item.replace(*change) + ". " + prose(20, 2), None, None, None)], DOC)
+    assert decontaminate.find_items(df, bench).first()["contaminated"]
+
+
 def test_sharding(docs, empty):
     limit = 3000
     got = sharding.assign(docs, limit, step=3).collect()
@@ -612,3 +731,36 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert kept == {*range(8), 20}
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Every stage on nulls, empty and very long texts, repeated rows, further columns and an empty table."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    words = {"en": VOCABULARY[:150], "de": VOCABULARY[200:350]}
+    text = lambda g, n, seed: " ".join(random.Random(seed).choices(words[g], k=n)) + "."
+    rows = [(i, text("en" if i % 2 else "de", 80, i), "en" if i % 2 else "de") for i in range(20)]
+    rows += [(30, None, "en"), (31, "", "de"), (32, "42 !", None), (33, text("en", 9000, 5), None), (None, text("de", 70, 77), None), (3, rows[3][1], "en"), (3, rows[3][1], "en"), (40, rows[5][1] + " end", "en")]
+    item = "how many big red trains leave the small town at night when the river is high and cold"
+    rows.append((41, text("en", 60, 300) + " " + item.upper() + " " + text("en", 60, 301), "en"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, cls string, gone int"
+    docs = spark.createDataFrame([(i, t, g, "s", len(t or ""), "x", 1) for i, t, g in rows], schema)
+    for place, table in (("full", docs), ("none", docs.where("false"))):
+        table.write.parquet(str(tmp_path / place / "documents.parquet"))
+        spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / place / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    now, seen = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.written(stage(spark, now, str(tmp_path / "full")))
+        assert now.columns == docs.columns
+        seen[name] = sorted(str(r["doc_id"]) for r in now.select("doc_id").collect())
+    clean = {*map(str, range(20)), "33", "None"}
+    assert set(seen["language"]) == clean | {"40", "41"} and seen["language"].count("3") == 3
+    assert seen["lines"] == seen["language"]
+    assert sorted(set(seen["near_duplicates"])) == sorted(clean | {"41"}) and len(seen["near_duplicates"]) == len(clean) + 1
+    assert set(seen["benchmark_leaks"]) == clean
+    encode = Tokenizer.from_file(queries.tokenizer_path()).encode
+    want = {r["doc_id"]: len(encode(r["text"], add_special_tokens=False).ids) + 1 for r in now.collect()}
+    pieces = corpus_pipeline.run(spark, str(tmp_path / "full")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert {r["doc_id"]: r["n"] for r in pieces} == {r["doc_id"]: r["m"] for r in pieces} == want
