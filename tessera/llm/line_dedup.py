@@ -93,9 +93,10 @@ def recurring_units(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     s = settings
     text = F.col(f"`{text_col}`").cast("string")
     table = written(_units(docs, text, id_col, s))
-    shared = table.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+    # written, so that the joins read plain tables and Spark can split a hot key's rows
+    shared = written(table.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"))
     met = written(table.join(shared, "key").select("id", *_TEXT, "size", "pos", "sub", "bytes", F.explode_outer(_templates(s)).alias("template")))
-    owners = met.groupBy("template").agg(F.min(F.struct("id", *_TEXT)).alias("owner"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("template", "owner")
+    owners = written(met.groupBy("template").agg(F.min(F.struct("id", *_TEXT)).alias("owner"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("template", "owner"))
     lost = met.join(owners, "template").where((F.col("owner.h1") != F.col("h1")) | (F.col("owner.h2") != F.col("h2")))
     units = lost.groupBy(*_TEXT, "pos", "sub").agg(F.first("bytes").alias("bytes"), F.first("size").alias("size"), F.collect_set(F.struct("owner.h1", "owner.h2")).alias("owners"))
     of_line = Window.partitionBy(*_TEXT, "pos")  # the units of one line of one text
