@@ -1,11 +1,13 @@
 """Bigram language model over a whole corpus, kept in sharded Elias-Fano tries.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, then one end token. With c the training counts,
-N their sum, V the distinct training tokens and T(v) the distinct successors of v, the model is Witten-Bell interpolated:
+N their sum, V the distinct training tokens and T(v) the distinct successors of v, the model interpolates by absolute
+discounting with D = ``discount``:
 
     P1(w)    = (c(w) + 0.1) / (N + 0.1 (V + 1))
-    P(w | v) = (1 - b(v)) c(v,w)/c(v) + b(v) P1(w),   b(v) = T(v) / (c(v) + T(v))
+    P(w | v) = max(c(v,w) - D, 0) / c(v) + b(v) P1(w),   b(v) = D T(v) / c(v);   P1(w) where c(v) = 0
 
+A pair seen once keeps a quarter of a count and one seen twice five times as much, so texts that occur again stand out.
 Words are known by 63 bits of XXH64, and by 40 bits below their context (chance of a false successor: T(v) / 2**40).
 
 How it scales. One pass turns the texts into chunks of at most ``chunk_tokens`` tokens: distinct words, distinct pairs with
@@ -92,8 +94,13 @@ _CHUNK_SCHEMA = ", ".join(f"{k} {'string' if t == pa.string() else 'long' if t =
 
 def _chunk(number: int, tokens: np.ndarray, before: np.ndarray, train: np.ndarray, rows: list[tuple]) -> list[dict]:
     """Two records: the counts of a chunk, and its tokens as numbers of pairs. rows: (row, id, fold, tokens)."""
-    vocabulary, flat = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-    word, context = flat[: len(tokens)], flat[len(tokens) :]
+    known, word = np.unique(tokens, return_inverse=True)
+    odd = np.flatnonzero(before[1:] != tokens[:-1]) + 1  # elsewhere the context is the token before
+    odd = np.concatenate([[0], odd])
+    vocabulary = np.union1d(known, before[odd])
+    word = np.searchsorted(vocabulary, known).astype(np.int32)[word]
+    context = np.roll(word, 1)
+    context[odd] = np.searchsorted(vocabulary, before[odd])
     pairs, which = np.unique(context.astype(np.int64) << 32 | word, return_inverse=True)
     count = np.bincount(which[train], minlength=len(pairs))
     empty = dict.fromkeys(_CHUNK)
@@ -196,7 +203,7 @@ def _count_words(counts: DataFrame, shards: int, hot_count: float) -> DataFrame:
         return _answers(out, _REPLY)
 
     dealt = counts.select("chunk", "vocabulary", "word_counts").mapInArrow(deal, "shard long, chunk long, keys binary, counts binary")
-    return dealt.groupBy("shard").applyInArrow(merge, _REPLY_SCHEMA)
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(merge, _REPLY_SCHEMA)
 
 
 # --- pairs: a trie in each shard ---------------------------------------------------------------------------------------
@@ -235,7 +242,7 @@ def _chunk_pairs(r: dict, hot: np.ndarray, shards: int) -> tuple[np.ndarray, ...
     return contexts[order], words[order], count, shard[order], order
 
 
-def _look_up_pairs(counts: DataFrame, shards: int, hot: np.ndarray, hot_counts: np.ndarray) -> DataFrame:
+def _look_up_pairs(counts: DataFrame, shards: int, hot: np.ndarray, hot_counts: np.ndarray, discount: float) -> DataFrame:
     """For each chunk and shard the quantised probabilities of the chunk's pairs and the back-off weights of their
     contexts; as chunk -1 each shard's distinct successors of the hot contexts."""
 
@@ -257,7 +264,7 @@ def _look_up_pairs(counts: DataFrame, shards: int, hot: np.ndarray, hot_counts:
             for r in table.to_pylist()
         ]
         shard = table.column("shard")[0].as_py()
-        trie, hot_types = _build([x[1:] for x in rows], hot, hot_counts)
+        trie, hot_types = _build([x[1:] for x in rows], hot, hot_counts, discount)
         out = [{"shard": shard, "chunk": -1, "codes": None, "weights": None, "hot_types": squeeze(hot_types, "<i8")}]
         for chunk, contexts, successors, words, _ in rows:
             ranks, there = trie.find(contexts)
@@ -268,10 +275,10 @@ def _look_up_pairs(counts: DataFrame, shards: int, hot: np.ndarray, hot_counts:
 
     names = ("chunk", "vocabulary", "successors", "next_words", "pair_counts")
     dealt = counts.select(*names).mapInArrow(deal, "shard long, chunk long, contexts binary, successors binary, words binary, counts binary")
-    return dealt.groupBy("shard").applyInArrow(answer, _FOUND_SCHEMA)
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(answer, _FOUND_SCHEMA)
 
 
-def _build(slices: list[tuple], hot: np.ndarray, hot_counts: np.ndarray) -> tuple[Trie, np.ndarray]:
+def _build(slices: list[tuple], hot: np.ndarray, hot_counts: np.ndarray, discount: float) -> tuple[Trie, np.ndarray]:
     """The trie of a shard's training pairs, and how many distinct successors of each hot context it has.
 
     The counts of a hot context are spread over shards, so its total is given; its back-off weight is left at 0 here and
@@ -290,14 +297,14 @@ def _build(slices: list[tuple], hot: np.ndarray, hot_counts: np.ndarray) -> tupl
     own, first, types = np.unique(contexts, return_index=True, return_counts=True)
     total = np.add.reduceat(count, first) if len(first) else count
     hot_types = np.zeros(len(hot), np.int64)
-    weights = types / (total + types) if len(own) else np.zeros(0)
+    weights = discount * types / total if len(own) else np.zeros(0)
     if len(hot) and len(own):
         at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
         here = hot[at] == own
         hot_types[at[here]] = types[here]
         total = np.where(here, hot_counts[at], total)
         weights = np.where(here, 0.0, weights)
-    return Trie(own, types, words, count / np.repeat(total, types), weights), hot_types
+    return Trie(own, types, words, (count - discount) / np.repeat(total, types), weights), hot_types
 
 
 # --- scores -----------------------------------------------------------------------------------------------------------
@@ -312,6 +319,7 @@ class Totals:
     hot: np.ndarray
     hot_counts: np.ndarray
     hot_types: np.ndarray
+    discount: float
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.1) / (self.tokens + 0.1 * (self.types + 1))
@@ -335,10 +343,10 @@ def _score_chunk(counts: dict, tokens: dict, words: list[dict], found: list[dict
     if len(totals.hot):
         at = np.minimum(np.searchsorted(totals.hot, contexts), len(totals.hot) - 1)
         here = totals.hot[at] == contexts
-        weight[here] = (totals.hot_types / (totals.hot_counts + totals.hot_types))[at[here]]
+        weight[here] = (totals.discount * totals.hot_types / totals.hot_counts)[at[here]]
     place = np.searchsorted(vocabulary, following)
     log = np.empty(len(contexts))
-    log[order] = np.log10((1 - weight) * ratio + weight * unigram[place])
+    log[order] = np.log10(ratio + weight * unigram[place])
     word_of = np.empty(len(contexts), np.int64)
     word_of[order] = place
     pairs = expand(tokens["pairs"], "<u4")
@@ -350,7 +358,7 @@ def _score_chunk(counts: dict, tokens: dict, words: list[dict], found: list[dict
     return pa.table([pa.array(c, t) for c, t in zip(columns, _SCORE.values())], names=list(_SCORE))
 
 
-def score(docs: DataFrame, train: Column, text_col: str = "text", id_col: str = "doc_id", chunk_tokens: int = 3 << 19, shard_tokens: int = 1 << 21) -> DataFrame:
+def score(docs: DataFrame, train: Column, text_col: str = "text", id_col: str = "doc_id", chunk_tokens: int = 3 << 19, shard_tokens: int = 1 << 21, discount: float = 0.75) -> DataFrame:
     """Scores every row of docs with the model of the rows where ``train`` holds.
 
     Returns doc_id, train (as given), n_tokens, n_known, train_tokens, base_score (the unigram's log10 probability) and
@@ -374,9 +382,9 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", id_col: str =
     hot = np.array(sorted(found), np.uint64)
     hot_counts = np.array([found[int(k)] for k in hot], np.int64)
 
-    pairs = written(_look_up_pairs(counts, shards, hot, hot_counts))
+    pairs = written(_look_up_pairs(counts, shards, hot, hot_counts, discount))
     types = [expand(r["hot_types"], "<i8") for r in pairs.where("chunk = -1").select("hot_types").collect()]
-    totals = Totals(n, sum(r["n"] for r in heads), hot, hot_counts, np.sum(types, axis=0) if types else np.zeros(len(hot), np.int64))
+    totals = Totals(n, sum(r["n"] for r in heads), hot, hot_counts, np.sum(types, axis=0) if types else np.zeros(len(hot), np.int64), discount)
 
     nothing = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
     count_names = ("vocabulary", "successors", "next_words")
@@ -394,7 +402,9 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", id_col: str =
             by[r["kind"]].append(r)
         return _score_chunk(by["c"][0], by["t"][0], by["w"], by["p"], totals, shards)
 
-    scored = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy("chunk").applyInArrow(finish, _SCORE_SCHEMA)
+    together = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    chunks_here = max(partitions(spark), (sums["tokens"] or 0) // chunk_tokens)
+    scored = together.repartition(chunks_here, "chunk").groupBy("chunk").applyInArrow(finish, _SCORE_SCHEMA)
     summed = scored.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("fold").alias("fold"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     )  # a long text may lie in several chunks

@@ -180,9 +180,9 @@ def test_language_model(docs, empty, chunk, shard):
     def logs(t):
         line, base, score = ["\n", *words(t), "\t"], 0.0, 0.0
         for a, b in zip(line, line[1:]):
-            back = types[a] / (context[a] + types[a]) if context[a] else 1.0
+            back = 0.75 * types[a] / context[a] if context[a] else 1.0
             base += math.log10(p1(b))
-            score += math.log10((1 - back) * (pairs[a, b] / context[a] if context[a] else 0) + back * p1(b))
+            score += math.log10((max(pairs[a, b] - 0.75, 0) / context[a] if context[a] else 0) + back * p1(b))
         return base, score, len(line) - 1
 
     want = sorted((logs(t) for _, t in rows), key=lambda x: x[0])
