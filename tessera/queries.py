@@ -146,6 +146,34 @@ def index_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _indexed(spark, sf_dir).dump_index("BySegmentNation")
 
 
+def _committed(spark: SparkSession, sf_dir: str) -> Session:
+    """The cluster's pods and selectors in a session."""
+    p = cluster_program()
+    p.rules = [r for r in p.rules if r.head in p.needed(["MatchesPod"])]
+    session, inputs = Session(spark, p), cluster_inputs(spark, sf_dir)
+    session.start()
+    for name in ("Pod", "Selectors"):
+        session.insert(name, inputs[name])
+    session.commit(changes=False)
+    return session
+
+
+_BUILDING = ([("segment", "BUILDING")], [])
+
+
+@query(f"{_VIEWS} SELECT ns, name AS pod FROM pod WHERE segment = 'BUILDING' AND ns = (SELECT min(ns) FROM pod)")
+def index_matches_pod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pods that one selector matches in one namespace."""
+    session = _committed(spark, sf_dir)
+    first = session.relation("Pod").agg(F.min("meta.namespace")).first()[0]
+    return session.query_index("MatchesPod", _BUILDING, first).select(F.col("namespace").alias("ns"), F.col("pod.meta.name").alias("pod"))
+
+
+@query(f"{_VIEWS} SELECT ns, name AS pod FROM pod WHERE segment = 'BUILDING'")
+def index_matches_pod_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _committed(spark, sf_dir).query_index("MatchesPodAll", _BUILDING).select(F.col("namespace").alias("ns"), F.col("pod.meta.name").alias("pod"))
+
+
 # --- operators ------------------------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +19,8 @@ from .plans.program import INPUT, MULTISET, OUTPUT, STREAM, Program, Transformer
 from .plans.session import Session, UpdateError
 from .registry import Query, query, table
 from .sources import jsonfeed
-from .streaming import run_epochs
+from .storage import shared_dir
+from .streaming import handlers, run_epochs
 
 _NATIONS = T.StructType([T.StructField("n", T.IntegerType())])
 _SUPPLIER = "SELECT s_suppkey, s_name, s_nationkey FROM supplier"
@@ -79,19 +84,19 @@ def _printed(commands: str, sql: str, name: str) -> Query:
     return query(sql)(run)
 
 
-def _numbered(sql: str, first: int = 0) -> str:
-    """Lines of text, numbered in their order."""
-    return f"SELECT CAST(row_number() OVER (ORDER BY encode(text)) - 1 + {first} AS INTEGER) AS line, text FROM ({sql})"
+def _numbered(sql: str, order: str = "encode(text)", first: int = 0) -> str:
+    """Lines of text, numbered in an order."""
+    return f"SELECT CAST(row_number() OVER (ORDER BY {order}) - 1 + {first} AS INTEGER) AS line, text FROM ({sql})"
 
 
-_printed("dump Nations;", _numbered("SELECT DISTINCT concat('{.n = ', s_nationkey, '}') AS text FROM supplier"), "cmd_dump")
-_printed("query_index ByNation(3);", _numbered("SELECT DISTINCT concat('{.n = ', s_nationkey, '}') AS text FROM supplier WHERE s_nationkey = 3"), "cmd_query_index")
-_printed("dump_index ByNation;", _numbered("SELECT DISTINCT concat('{.n = ', s_nationkey, '}') AS text FROM supplier"), "cmd_dump_index")
+_LINE = "SELECT DISTINCT s_nationkey AS n, concat('{.n = ', s_nationkey, '}') AS text FROM supplier"
+_CHANGES = f"SELECT n, concat(text, ': -1') AS text FROM ({_LINE}) UNION ALL SELECT 70, '{{.n = 70}}: +1'"
+_printed("dump Nations;", _numbered(_LINE, "n"), "cmd_dump")
+_printed("query_index ByNation(3);", _numbered(f"{_LINE} WHERE s_nationkey = 3", "n"), "cmd_query_index")
+_printed("dump_index ByNation;", _numbered(_LINE, "n"), "cmd_dump_index")
 _printed("start; clear Supplier; rollback; start; clear Supplier; commit; dump Nations; echo cleared;", "SELECT CAST(0 AS INTEGER) AS line, 'cleared' AS text", "cmd_clear")
 _printed(
-    'start; clear Supplier; insert Supplier(1, "a", 70); commit dump_changes;',
-    f"SELECT CAST(0 AS INTEGER) AS line, 'Nations:' AS text UNION ALL {_numbered('''SELECT DISTINCT concat('{.n = ', s_nationkey, '}: -1') AS text FROM supplier UNION ALL SELECT '{.n = 70}: +1' ''', 1)}",
-    "cmd_dump_changes",
+    'start; clear Supplier; insert Supplier(1, "a", 70); commit dump_changes;', f"SELECT CAST(0 AS INTEGER) AS line, 'Nations:' AS text UNION ALL {_numbered(_CHANGES, 'n', 1)}", "cmd_dump_changes"
 )
 _printed("profile cpu on; log_level 3; mssleep 1; profile;", _numbered("SELECT concat('Nations: ', count(DISTINCT s_nationkey), ' rows') AS text FROM supplier UNION ALL SELECT concat('Supplier: ', count(*), ' rows') FROM supplier"), "cmd_profile")
 
@@ -144,6 +149,62 @@ def txn_input_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.input_data("Supplier")
 
 
+@query(f"{_SUPPLIER} UNION ALL SELECT -7, 'from a file' || chr(10), 1")
+def cmd_file_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A string value read from a file of the driver's."""
+    session = _session(spark, sf_dir)
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder, "name.txt")
+        path.write_text("from a file\n")
+        list(Interpreter(session).run(f'start; insert Supplier(-7, %"{path}", 1); commit;'))
+    return session.relation("Supplier")
+
+
+@query(_SUPPLIER)
+def txn_dump_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows handed to a callback, all of them; a second callback stops after the first."""
+    session, seen, few = _session(spark, sf_dir), [], []
+    session.dump_table("Supplier", lambda row, weight: seen.append(tuple(row)) or weight == 1)
+    session.dump_table("Supplier", lambda row, weight: few.append(row) or False)
+    return spark.createDataFrame(seen if len(few) == 1 else [], session.program.relations["Supplier"].schema)
+
+
+@query("SELECT n_name AS nation, CAST(a.w * b.w AS BIGINT) AS w FROM nation JOIN (SELECT c_nationkey AS k, count(*) AS w FROM customer GROUP BY k) a ON n_nationkey = a.k JOIN (SELECT s_nationkey AS k, count(*) AS w FROM supplier GROUP BY k) b ON a.k = b.k")
+def op_weighted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = O.consolidate(O.weighted(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))))
+    suppliers = O.consolidate(O.weighted(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("j"))))
+    named = O.weighted(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    joined = O.equi_join(named, O.equi_join(customers, suppliers, {"k": "j"}), {"n_nationkey": "k"})
+    return joined.select(F.col("n_name").alias("nation"), F.col("__w").alias("w"))
+
+
+@query("SELECT c_custkey AS c, CAST(w AS BIGINT) AS w FROM customer JOIN (SELECT s_nationkey AS k, count(*) AS w FROM supplier WHERE s_acctbal > 0 GROUP BY k) ON c_nationkey = k")
+def op_weighted_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = O.weighted(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), "c_nationkey"))
+    suppliers = O.weighted(table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_nationkey"))
+    return O.semijoin(customers, suppliers, {"c_nationkey": "s_nationkey"}).select("c", F.col("__w").alias("w"))
+
+
+@query("WITH RECURSIVE e AS (SELECT p_partkey // 4 AS a, p_partkey AS d FROM part WHERE p_partkey >= 4 AND p_partkey % 10 <> 3), anc(a, d) AS (SELECT a, d FROM e UNION SELECT e.a, anc.d FROM e JOIN anc ON e.d = anc.a) SELECT a, d FROM anc")
+def recursion_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recursive relation after rows under it were deleted."""
+    pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("d", T.LongType())])
+    p = Program()
+    p.relation("Parent", pair, kind=INPUT)
+    p.relation("Ancestor", pair, kind=OUTPUT)
+    p.rule("Ancestor", ["Parent"], lambda s: s["Parent"])
+    p.rule("Ancestor", ["Parent", "Ancestor"], lambda s: O.equi_join(s["Parent"].toDF("p", "c"), s["Ancestor"], {"c": "a"}).select(F.col("p").alias("a"), "d"))
+    s = Session(spark, p)
+    rows = table(spark, sf_dir, "part").where("p_partkey >= 4").select(F.expr("p_partkey div 4").alias("a"), F.col("p_partkey").alias("d"))
+    s.start()
+    s.insert("Parent", rows)
+    s.commit(changes=False)
+    s.start()
+    s.delete("Parent", rows.where("d % 10 = 3"))
+    s.commit()
+    return s.relation("Ancestor")
+
+
 @query("SELECT s_nationkey AS k, CAST(count(*) AS BIGINT) AS w FROM supplier GROUP BY s_nationkey")
 def txn_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A multiset relation keeps weights."""
@@ -281,8 +342,6 @@ def program_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS t, CAST(count(DISTINCT user_id) AS BIGINT) AS n FROM events GROUP BY event_type")
 def stream_run_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A structured stream whose micro-batches are transactions; an aggregate of the relation they fill."""
-    from .storage import shared_dir
-
     kept = T.StructType([T.StructField("t", T.StringType()), T.StructField("u", T.LongType())])
     p = Program()
     p.relation("Event", kept, kind=INPUT)
@@ -292,7 +351,23 @@ def stream_run_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/event[s].parquet")
     rows = source.select(F.col("event_type").alias("t"), F.col("user_id").alias("u"))
-    import uuid
-
     run_epochs(rows, s, "Event", f"{shared_dir(spark)}/epochs-{uuid.uuid4().hex}").awaitTermination()
     return s.relation("Users")
+
+
+@query("SELECT n, CAST(w AS BIGINT) AS w FROM (SELECT DISTINCT s_nationkey AS n, -1 AS w FROM supplier UNION ALL SELECT 70, 1)")
+def handler_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a commit through chained handlers, the last one on its own thread."""
+    session, seen = _session(spark, sf_dir), []
+    session.start()
+    session.clear("Supplier")
+    session.insert("Supplier", [(1, "a", 70)])
+    with handlers.Threaded(lambda name, row, weight: seen.append((row.n, weight))) as last:
+        handlers.dispatch(session.commit(), handlers.chained(handlers.null, handlers.only({"Nations"}, last)))
+    return spark.createDataFrame(seen, "n int, w long")
+
+
+@query("SELECT * FROM (VALUES (0, 'Timestamp: #'), (1, 'said # times')) AS t(line, text)")
+def cmd_misc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = Interpreter(_session(spark, sf_dir)).run("# a comment\nlog_level 1; mssleep 2; timestamp; echo said 2 times; exit; echo never;")
+    return _lines(spark, [re.sub("[0-9]+", "#", line) for line in lines])

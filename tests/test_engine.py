@@ -249,6 +249,35 @@ def test_cluster_script(spark):
     assert [r["pod"]["meta"]["name"] for r in s.relation("ServiceMatchesPod").collect()] == ["p1"]
 
 
+def test_command_line(spark, monkeypatch, capsys, tmp_path):
+    import io
+
+    from tessera.__main__ import main
+
+    text = SCRIPT.replace("commit;", "commit;\nprofile cpu on;").replace("echo done;", "echo done;\ninsert Nope(1);\necho never;")
+    monkeypatch.setattr("sys.stdin", io.StringIO(text))
+    main(["--delta", "--init-snapshot", "--record", str(tmp_path / "log")])
+    out = capsys.readouterr().out.split("\n")
+    assert "NodesInUse:" in out and '{.name = "n0"}: +1' in out and "done" in out
+    assert any(line.startswith("error: apply_update: unknown input relation Nope") for line in out) and "never" not in out
+    assert "commit dump_changes;" in (tmp_path / "log").read_text() and "Nope" not in (tmp_path / "log").read_text()
+
+
+def test_a_failing_handler_is_heard(spark):
+    from tessera.streaming import handlers
+
+    changes = {"R": spark.createDataFrame([(i, 1) for i in range(5)], "x long, __w long")}
+    seen = []
+    handlers.dispatch(changes, lambda name, row, weight: seen.append(row.x) or len(seen) < 3)
+    assert len(seen) == 3
+
+    def fails(name, row, weight):
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError, match="no"), handlers.Threaded(fails) as last:
+        handlers.dispatch(changes, last)
+
+
 def test_parser():
     def parsed(text):
         return list(Parser(text).commands())[0]
