@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..storage import drop, shared_dir, written  # noqa: F401  (used by the operators)
 
 #: Rows in one Arrow batch sent to Python: texts can be long, so batches are kept short.
-ARROW_ROWS = 1000
+ARROW_ROWS = 256
+
 
 def short_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of text rows small, unless the session asks for fewer rows already."""
+    """Keep Arrow batches of text rows small, unless the session asks for fewer rows already. The setting stays: it is read
+    when a plan runs."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))

@@ -253,16 +253,24 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _encoders[path, end_id]
 
 
-def _groups(texts: pa.Array, most: int = 1 << 22) -> Iterator[slice]:
-    """Slices of texts with about so many bytes."""
-    start, size = 0, 0
-    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-        size += n
-        if size >= most:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+def _groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of about so many bytes at a time, whatever the batches' size."""
+    keys: list = []
+    texts: list[pa.Array] = []
+    size = 0
+    for batch in batches:
+        column, start = batch.column(1), 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+            size += n
+            if size >= most:
+                keys += batch.column(0)[start : i + 1].to_pylist()
+                yield keys, pa.concat_arrays([*texts, column[start : i + 1]])
+                keys, texts, size, start = [], [], 0, i + 1
+        if start < len(column):
+            keys += batch.column(0)[start:].to_pylist()
+            texts.append(column[start:])
+    if texts:
+        yield keys, pa.concat_arrays(texts)
 
 
 # --- the operator ------------------------------------------------------------------------------------------------------
@@ -334,14 +342,11 @@ def pack(docs: DataFrame, tokenizer: str, settings: Settings = Settings(), text_
             columns = list(zip(*out)) or [()] * len(types)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for group in _groups(texts):
-                ids, counts = coder.encode(texts[group])
-                ends = np.cumsum(counts)
-                for key, stop, count in zip(keys[group], ends.tolist(), counts.tolist()):
-                    if (done := rows(packer.add(key, ids[stop - count : stop]))).num_rows:
-                        yield done
+        for keys, texts in _groups(batches):
+            ids, counts = coder.encode(texts)
+            for key, stop, count in zip(keys, np.cumsum(counts).tolist(), counts.tolist()):
+                if (done := rows(packer.add(key, ids[stop - count : stop]))).num_rows:
+                    yield done
         yield rows(packer.pack(True))
 
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
