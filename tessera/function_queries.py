@@ -119,7 +119,7 @@ def fn_vec_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, CAST(len(s) AS BIGINT) AS n, CAST(v[1] AS VARCHAR) AS one, array_to_string(list_sort(list_distinct(list_append(v, 3))), ',') AS added, list_contains(v, 3) AS has,
-  len(v) = 0 AS none, s[2] AS second, array_to_string(s, ',') AS vec, array_to_string(list_sort(list_distinct(list_concat(v, [8, 1]))), ',') AS all_of, '' AS nothing,
+  len(v) = 0 AS none, CAST(s[2] AS VARCHAR) AS second, array_to_string(s, ',') AS vec, array_to_string(list_sort(list_distinct(list_concat(v, [8, 1]))), ',') AS all_of, '' AS nothing,
   array_to_string(list_sort(list_concat(list_filter(s, lambda x: x NOT IN (1, 2)), list_filter([1::BIGINT, 2::BIGINT], lambda x: NOT list_contains(s, x)))), ',') AS toggled
   FROM (SELECT *, {_V} AS v, list_sort(list_distinct({_V})) AS s FROM lineitem)""")
 def fn_set_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def fn_set_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = vectors.to_set(v)
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", sets.size(s).alias("n"), text(sets.singleton(vectors.nth(v, F.lit(0)))).alias("one"), text(sets.insert(s, _long(3))).alias("added"), sets.contains(s, _long(3)).alias("has"),
-        sets.is_empty(s).alias("none"), sets.nth(s, F.lit(1)).alias("second"), text(sets.to_vec(s)).alias("vec"), text(sets.unions(F.array(s, sets.insert_imm(sets.singleton(_long(8)), _long(1))))).alias("all_of"),
+        sets.is_empty(s).alias("none"), sets.nth(s, F.lit(1)).cast("string").alias("second"), text(sets.to_vec(s)).alias("vec"), text(sets.unions(F.array(s, sets.insert_imm(sets.singleton(_long(8)), _long(1))))).alias("all_of"),
         text(sets.empty("bigint")).alias("nothing"), text(sets.symmetric_difference(s, F.array(_long(1), _long(2)))).alias("toggled"),
     )
 
@@ -137,7 +137,7 @@ _M = "SELECT c_custkey, c_mktsegment AS seg, c_name AS name, c_nationkey AS nati
 
 @query(f"""SELECT c_custkey, CASE WHEN seg < 'M' THEN concat(seg, '=', nation, ',M=', c_custkey) WHEN seg = 'M' THEN concat('M=', c_custkey) ELSE concat('M=', c_custkey, ',', seg, '=', nation) END AS entries,
   CAST(c_custkey AS VARCHAR) AS taken, concat(seg, '=', nation) AS left_over, seg < 'M' AS early, CASE WHEN seg < 'M' THEN seg ELSE 'M' END AS k0, CASE WHEN seg < 'M' THEN CAST(nation AS BIGINT) ELSE c_custkey END AS v0,
-  CASE WHEN seg = 'BUILDING' THEN c_custkey * 2 END AS building, seg = 'BUILDING' AS has, false AS none, true AS empty, '' AS nothing, CAST(CASE WHEN seg = 'BUILDING' THEN 2 ELSE 3 END AS BIGINT) AS merged,
+  CAST(CASE WHEN seg = 'BUILDING' THEN c_custkey * 2 END AS VARCHAR) AS building, seg = 'BUILDING' AS has, false AS none, true AS empty, '' AS nothing, CAST(CASE WHEN seg = 'BUILDING' THEN 2 ELSE 3 END AS BIGINT) AS merged,
   CAST(CASE WHEN seg = 'BUILDING' THEN 0 ELSE 1 END AS BIGINT) AS after_delete FROM ({_M})""")
 def fn_map_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg, key, nation = F.col("c_mktsegment"), F.col("c_custkey"), F.col("c_nationkey").cast("long")
@@ -148,7 +148,7 @@ def fn_map_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = F.when(maps.contains_key(m, F.lit("BUILDING")), maps.get(won, F.lit("BUILDING")))
     return table(spark, sf_dir, "customer").select(
         "c_custkey", _entries(m).alias("entries"), removed["value"].cast("string").alias("taken"), _entries(removed["rest"]).alias("left_over"),
-        (maps.nth_key(m, F.lit(0)) == seg).alias("early"), maps.nth_key(m, F.lit(0)).alias("k0"), maps.nth_value(m, F.lit(0)).alias("v0"), got.alias("building"),
+        (maps.nth_key(m, F.lit(0)) == seg).alias("early"), maps.nth_key(m, F.lit(0)).alias("k0"), maps.nth_value(m, F.lit(0)).alias("v0"), got.cast("string").alias("building"),
         maps.contains_key(m, F.lit("BUILDING")).alias("has"), maps.is_empty(m).alias("none"), maps.is_empty(maps.empty("string", "bigint")).alias("empty"), _entries(maps.empty("string", "bigint")).alias("nothing"),
         maps.size(won).alias("merged"), maps.size(gone).alias("after_delete"),
     )
@@ -182,13 +182,13 @@ def fn_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT c_custkey, CASE WHEN odd THEN c_name END AS name, CASE WHEN NOT odd THEN c_custkey END AS number, CAST(NULL AS DOUBLE) AS neither, c_name AS seen, '' AS text, CAST(0 AS BIGINT) AS zero,
+@query("""SELECT c_custkey, CASE WHEN odd THEN c_name END AS name, CAST(CASE WHEN NOT odd THEN c_custkey END AS VARCHAR) AS number, CAST(NULL AS DOUBLE) AS neither, c_name AS seen, '' AS text, CAST(0 AS BIGINT) AS zero,
   false AS no, CAST(0 AS INTEGER) AS items, '' AS inner_text FROM (SELECT *, c_custkey % 2 = 1 AS odd FROM customer)""")
 def fn_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.when(F.col("c_custkey") % 2 == 1, values.to_any(F.col("c_name"))).otherwise(values.to_any(F.col("c_custkey")))
     nested = values.default(T.StructType([T.StructField("a", T.ArrayType(T.LongType())), T.StructField("b", T.StringType())]))
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", values.from_any(a, "string").alias("name"), values.from_any(a, "bigint").alias("number"), values.from_any(a, "double").alias("neither"), values.deref(values.ref_new(F.col("c_name"))).alias("seen"),
+        "c_custkey", values.from_any(a, "string").alias("name"), values.from_any(a, "bigint").cast("string").alias("number"), values.from_any(a, "double").alias("neither"), values.deref(values.ref_new(F.col("c_name"))).alias("seen"),
         values.default(T.StringType()).alias("text"), values.default(T.LongType()).alias("zero"), values.default(T.BooleanType()).alias("no"), F.size(nested["a"]).alias("items"), nested["b"].alias("inner_text"),
     )
 

@@ -23,7 +23,7 @@ FEW_ROWS = 100_000
 STEPS = 4
 
 
-class _Reads(dict):
+class Reads(dict):
     """A state that a body reads for its ``at``-th use of a recursive relation: that use gives the new rows, others all rows."""
 
     def __init__(self, state: State, fresh: State, names: set[str], at: int) -> None:
@@ -38,7 +38,8 @@ class _Reads(dict):
         return self.fresh[name] if len(self.uses) == self.at else super().__getitem__(name)
 
 
-def _missing(rows: DataFrame, known: DataFrame) -> DataFrame:
+def missing(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows that are not known."""
     held = known.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(rows.columns)])
     return rows.join(held, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(rows.columns)], "left_anti")
 
@@ -47,11 +48,11 @@ def _step(rules: list[tuple[str, list[str], Body]], state: State, fresh: State,
     """What the rules give for each use of a recursive relation that has new rows."""
     found: dict[str, list[DataFrame]] = {}
     for head, reads, body in rules:
-        probe = _Reads(state, fresh, set(reads), 0)
+        probe = Reads(state, fresh, set(reads), 0)
         body(probe)
         for at, name in enumerate(probe.uses, 1):
             if name in fresh:
-                found.setdefault(head, []).append(body(_Reads(state, fresh, set(reads), at)).select(*columns[head]))
+                found.setdefault(head, []).append(body(Reads(state, fresh, set(reads), at)).select(*columns[head]))
     return found
 
 
@@ -64,35 +65,44 @@ def fixpoint(bases: State, rules: list[tuple[str, list[str], Body]], context: St
     of the next, and the round's rows are compared with the known ones once. New rows are written to the shared folder,
     which cuts the lineage every round; known rows are the union of those tables.
     """
-    context = context or {}
-    columns = {name: base.columns for name, base in bases.items()}
-    deltas, known, rows_in = {}, {}, {}
-    for name, base in bases.items():
-        deltas[name], rows_in[name] = counted(base.distinct())
-        known[name] = [deltas[name]]
+    first = {name: base.distinct() for name, base in bases.items()}
+    return closure({name: [] for name in bases}, first, rules, context or {}, max_rounds)[0]
+
+
+def closure(known: dict[str, list[DataFrame]], first: State, rules: list[tuple[str, list[str], Body]], context: State, max_rounds: int = MAX_ROUNDS) -> tuple[State, State]:
+    """Known relations that are closed under rules, extended by the rows of ``first`` (distinct, none of them known) and all that
+    follows. Returns the relations and the rows that are new (only of relations that have any)."""
+    columns = {name: rows.columns for name, rows in first.items()}
+    old = {name: list(parts) for name, parts in known.items()}
+    new: dict[str, list[DataFrame]] = {name: [] for name in first}
+    deltas, rows_in = {}, {}
+    for name, rows in first.items():
+        deltas[name], rows_in[name] = counted(rows)
+        new[name].append(deltas[name])
     for _ in range(max_rounds):
-        state = context | {name: reduce(DataFrame.unionByName, parts) for name, parts in known.items()}
+        state = context | {name: reduce(DataFrame.unionByName, [*old[name], *new[name]]) for name in first}
         fresh = {name: d for name, d in deltas.items() if rows_in[name]}
         if not fresh:
-            return {name: state[name] for name in bases}
+            gained = {name: reduce(DataFrame.unionByName, parts) for name, parts in new.items()}
+            return {name: state[name] for name in first}, gained
         made: dict[str, list[DataFrame]] = {}
         for _ in range(STEPS if sum(rows_in.values()) <= FEW_ROWS else 1):
             found = {head: reduce(DataFrame.unionByName, parts).distinct() for head, parts in _step(rules, state, fresh, columns).items()}
             for head, rows in found.items():
                 made.setdefault(head, []).append(rows)
             fresh = found
-        deltas, rows_in = {}, dict.fromkeys(bases, 0)
+        deltas, rows_in = {}, dict.fromkeys(first, 0)
         for head, parts in made.items():
-            deltas[head], rows_in[head] = counted(_missing(reduce(DataFrame.unionByName, parts).distinct(), state[head]))
+            deltas[head], rows_in[head] = counted(missing(reduce(DataFrame.unionByName, parts).distinct(), state[head]))
             if not rows_in[head]:
                 drop(deltas[head])
                 continue
-            known[head].append(deltas[head])
-            if len(known[head]) >= 20:  # many small tables are slow to read
-                whole = written(reduce(DataFrame.unionByName, known[head]))
-                for part in known[head][:-1]:
+            new[head].append(deltas[head])
+            if len(new[head]) >= 20:  # many small tables are slow to read
+                whole = written(reduce(DataFrame.unionByName, new[head]))
+                for part in new[head][:-1]:
                     drop(part)
-                known[head] = [whole]
+                new[head] = [whole]
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..operators import union
-from ..storage import written
-from .fixpoint import State, fixpoint
+from ..storage import counted, drop, written
+from .fixpoint import Reads, State, closure, fixpoint, missing
 
 SET, MULTISET, STREAM = "set", "multiset", "stream"
 INPUT, OUTPUT, INTERNAL = "input", "output", "internal"
@@ -178,6 +178,47 @@ class Program:
             state[name] = rows.distinct() if self.relations[name].distinct else rows
         return {name: df for name, df in state.items() if name not in past}
 
+    def advance(self, state: State, added: State) -> tuple[State, State] | None:
+        """All relations after rows were added to input relations, and the rows that each relation gained, found from these
+        alone: every rule is evaluated once for each use of a relation that gained rows, with those rows in its place.
+
+        None if the new rows reach a negation, an aggregate or a transformer, which may take rows back, or are used twice by
+        a relation that keeps repeated rows.
+        """
+        gained = {name: missing(rows, state[name]) if name in self.facts else rows for name, rows in added.items()}
+        now = state | {name: state[name].unionByName(rows) for name, rows in gained.items()}
+        for group in self.order():
+            rules = [r for r in self.rules if r.head in group]
+            if any(set(r.negated) & set(gained) for r in rules) or any(set(t.heads) & set(group) and set(t.reads) & set(gained) for t in self.transformers):
+                return None
+            found: dict[str, list[DataFrame]] = {}
+            for r in rules:
+                changed = set(r.reads) & set(gained)
+                probe = Reads(now, gained, changed, 0)
+                if changed:
+                    r.body(probe)
+                if len(probe.uses) > 1 and not self.relations[r.head].distinct:
+                    return None
+                for at in range(1, len(probe.uses) + 1):
+                    found.setdefault(r.head, []).append(r.body(Reads(now, gained, changed, at)).select(*self.relations[r.head].schema.names))
+            if not found:
+                continue
+            if self.recursive(group):
+                first = {n: missing(union(*found[n]).distinct(), state[n]) if n in found else state[n].limit(0) for n in group}
+                steps = [(r.head, [x for x in r.reads if x in group], r.body) for r in rules if set(r.reads) & set(group)]
+                made, new = closure({n: [state[n]] for n in group}, first, steps, {k: v for k, v in now.items() if k not in group})
+                now |= made
+                gained |= new
+                continue
+            name = group[0]
+            rows = union(*found[name])
+            rows, n = counted(missing(rows.distinct(), state[name]) if self.relations[name].distinct else rows)
+            if n:
+                now[name], gained[name] = state[name].unionByName(rows), rows
+            else:
+                drop(rows)
+        return now, gained
+
     def _with_facts(self, spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
         facts = self.facts.get(name)
         if not facts:

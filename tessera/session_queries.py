@@ -250,7 +250,7 @@ def txn_mutators(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- feeds ----------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT '_' || s_suppkey AS _uuid, s_name AS name, CASE WHEN s_suppkey % 3 = 1 THEN 99 ELSE s_nationkey END AS nation, CASE WHEN s_suppkey % 3 = 1 THEN '' ELSE '1,2' END AS tags FROM supplier WHERE s_suppkey % 3 < 2")
+@query("SELECT '_' || s_suppkey AS _uuid, s_name AS name, CAST(CASE WHEN s_suppkey % 3 = 1 THEN 99 ELSE s_nationkey END AS BIGINT) AS nation, CASE WHEN s_suppkey % 3 = 1 THEN '' ELSE '1,2' END AS tags FROM supplier WHERE s_suppkey % 3 < 2")
 def feed_to_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table updates as JSON, applied as transactions: inserts, then changes of some rows and deletions of others."""
     schema = T.StructType([T.StructField("_uuid", T.StringType()), T.StructField("name", T.StringType()), T.StructField("nation", T.LongType()), T.StructField("tags", T.ArrayType(T.LongType()))])
@@ -298,13 +298,13 @@ def program_transformer(spark: SparkSession, sf_dir: str) -> DataFrame:
 _USERS = T.StructType([T.StructField("u", T.LongType())])
 
 
-def _epochs(spark: SparkSession, sf_dir: str, p: Program, relation: str, count: int) -> Session:
+def _epochs(spark: SparkSession, sf_dir: str, p: Program, relation: str, count: int, value: str = "user_id") -> Session:
     """A session with one commit for each epoch of the events."""
     s = Session(spark, p)
     events = table(spark, sf_dir, "events")
     for epoch in range(count):
         s.start()
-        s.insert(relation, events.where(F.col("event_id") % 5 == epoch).select(F.col("user_id").alias("u")).distinct())
+        s.insert(relation, events.where(F.col("event_id") % 5 == epoch).select(F.expr(value).cast("long").alias("u")).distinct())
         s.commit(changes=False)
     return s
 
@@ -371,3 +371,70 @@ def handler_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cmd_misc(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = Interpreter(_session(spark, sf_dir)).run("# a comment\nlog_level 1; mssleep 2; timestamp; echo said 2 times; exit; echo never;")
     return _lines(spark, [re.sub("[0-9]+", "#", line) for line in lines])
+
+
+_WEIGHED = T.StructType([T.StructField("u", T.LongType()), T.StructField("w", T.LongType())])
+_EPOCH = "SELECT DISTINCT user_id AS u FROM events WHERE event_id % 5 ="
+
+
+_PLACE = "SELECT DISTINCT user_id * 100 + CAST(floor(value) AS BIGINT) % 100 AS u FROM events WHERE event_id % 5 ="
+
+
+@query(f"SELECT u, CAST(sum(w) AS BIGINT) AS w FROM (SELECT u, 1 AS w FROM ({_PLACE} 2) UNION ALL SELECT u, -1 FROM ({_PLACE} 1)) GROUP BY u HAVING sum(w) <> 0")
+def program_differentiate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule that gives what a stream gained and lost since the epoch before."""
+    p = Program()
+    p.relation("Seen", _USERS, kind=INPUT, caching=STREAM)
+    p.relation("Change", _WEIGHED, kind=OUTPUT)
+    p.rule("Change", ["Seen", "Seen-1"], lambda s: O.delta(s["Seen-1"], s["Seen"]).withColumnRenamed("__w", "w"), negated=["Seen-1"])
+    return _epochs(spark, sf_dir, p, "Seen", 3, "user_id * 100 + floor(value) % 100").relation("Change")
+
+
+@query(f"SELECT u % 3 AS u, count(*) AS w FROM ({_EPOCH} 2) GROUP BY u % 3")
+def program_stream_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule that aggregates an epoch of a stream."""
+    p = Program()
+    p.relation("Seen", _USERS, kind=INPUT, caching=STREAM)
+    p.relation("Counts", _WEIGHED, kind=OUTPUT)
+    p.rule("Counts", ["Seen"], lambda s: O.aggregate(s["Seen"].select("u", (F.col("u") % 3).alias("k")), ["k"], ["u"], w=F.count(F.lit(1))).select(F.col("k").alias("u"), "w"), negated=["Seen"])
+    return _epochs(spark, sf_dir, p, "Seen", 3).relation("Counts")
+
+
+@query(f"SELECT c_custkey AS u, CAST(c_nationkey AS BIGINT) AS w FROM customer WHERE c_custkey IN ({_EPOCH} 2)")
+def program_stream_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a relation that an epoch of a stream names."""
+    p = Program()
+    p.relation("Seen", _USERS, kind=INPUT, caching=STREAM)
+    p.relation("Customer", _WEIGHED, kind=INPUT)
+    p.relation("Named", _WEIGHED, kind=OUTPUT)
+    p.rule("Named", ["Seen", "Customer"], lambda s: O.stream_semijoin(s["Seen"].toDF("seen"), s["Customer"], {"seen": "u"}, keep_state=True))
+    s = Session(spark, p)
+    events = table(spark, sf_dir, "events")
+    s.start()
+    s.insert("Customer", table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("u"), F.col("c_nationkey").cast("long").alias("w")))
+    s.commit(changes=False)
+    s.start()
+    s.insert("Seen", events.where("event_id % 5 = 2").select(F.col("user_id").alias("u")))
+    s.commit(changes=False)
+    return s.relation("Named")
+
+
+@query(f"{_SUPPLIER} UNION ALL SELECT -s_suppkey - 1, s_name, s_nationkey + 50 FROM supplier")
+def txn_added_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit of new rows only: the state after its changes."""
+    session = _session(spark, sf_dir)
+    rows = session.relation("Supplier")
+    session.start()
+    session.insert("Supplier", rows.select((-F.col("s_suppkey") - 1).alias("s_suppkey"), "s_name", (F.col("s_nationkey") + 50).alias("s_nationkey")))
+    session.commit()
+    return session.relation("Supplier")
+
+
+@query("SELECT DISTINCT s_nationkey + 50 AS n, CAST(1 AS BIGINT) AS w FROM supplier")
+def txn_added_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What such a commit adds to an output."""
+    session = _session(spark, sf_dir)
+    rows = session.relation("Supplier")
+    session.start()
+    session.insert("Supplier", rows.select((-F.col("s_suppkey") - 1).alias("s_suppkey"), "s_name", (F.col("s_nationkey") + 50).alias("s_nationkey")))
+    return session.commit()["Nations"].withColumnRenamed("__w", "w")

@@ -125,6 +125,54 @@ def test_selected_pods_against_every_pair(spark, seed):
     assert state["MatchesPod"].count() == sum(matches(s, p[0][2]) for s in distinct for p in pods)
 
 
+def test_commits_of_new_rows_follow_as_changes(spark):
+    """Random insertions and deletions, with recursion, a join of a relation with itself, a bag and a negation, against a
+    session that evaluates everything anew."""
+    import random
+
+    two = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def made(negates):
+        p = Program()
+        p.relation("E", two, kind=INPUT)
+        p.relation("Path", two, kind=OUTPUT)
+        p.rule("Path", ["E"], lambda s: s["E"])
+        p.rule("Path", ["E", "Path"], lambda s: s["E"].toDF("x", "y").join(s["Path"], F.col("y") == F.col("a")).select(F.col("x").alias("a"), "b"))
+        p.relation("Two", two, kind=OUTPUT)
+        p.rule("Two", ["E"], lambda s: s["E"].toDF("x", "y").join(s["E"], F.col("y") == F.col("a")).select(F.col("x").alias("a"), "b"))
+        p.relation("Bag", LONG, distinct=False)
+        p.rule("Bag", ["E"], lambda s: s["E"].select(F.col("a").alias("x")))
+        p.relation("Starts", LONG, kind=OUTPUT)
+        p.rule("Starts", ["Bag"], lambda s: s["Bag"])
+        if negates:
+            p.relation("Ends", LONG, kind=OUTPUT)
+            p.rule("Ends", ["E"], lambda s: O.antijoin(s["E"].select(F.col("b").alias("x")), s["E"], {"x": "a"}).distinct(), negated=["E"])
+        return p
+
+    for negates in (False, True):
+        r, session = random.Random(negates), Session(spark, made(negates))
+        rows, steps = set(), 0
+        for round_ in range(5):
+            session.start()
+            new = {(r.randrange(12), r.randrange(12)) for _ in range(4)}
+            session.insert("E", sorted(new))
+            rows |= new
+            if round_ == 3:
+                gone = sorted(rows)[:2]
+                session.delete("E", gone)
+                rows -= set(gone)
+            before = {n: values(session.relation(n)) for n in ("Path", "Two", "Starts")}
+            changes = session.commit()
+            steps += session.advanced > 0
+            whole = session.program.evaluate(spark, {"E": spark.createDataFrame(sorted(rows), two)})
+            for name in ("Path", "Two", "Starts", "Bag", *(["Ends"] if negates else [])):
+                assert values(session.relation(name)) == values(whole[name])
+                if name in before:
+                    old, new_ = set(before[name]), set(values(whole[name]))
+                    assert sorted(map(tuple, changes[name].collect()) if name in changes else []) == sorted([(*x, 1) for x in new_ - old] + [(*x, -1) for x in old - new_])
+        assert steps == (0 if negates else 3)  # not the first one, nor the one with deletions
+
+
 def test_delayed_relations_that_feed_themselves(spark):
     p = Program()
     p.relation("Now", LONG, kind=INPUT, caching=STREAM)
