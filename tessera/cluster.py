@@ -43,38 +43,65 @@ def _choices(selector: Column) -> Column:
     return F.concat(named, required)
 
 
-def selected(owners: DataFrame, pods: DataFrame, scope: tuple[str, ...]) -> DataFrame:
-    """owners (owner, selector and the columns of ``scope``) with the pods (pod and those columns) that their selectors match.
+#: Parts that pods are dealt to besides the keys of a join: a label, namespace or selector of most pods is no single task.
+PARTS = 32
+
+
+def _in_parts(pods: DataFrame) -> DataFrame:
+    return pods.distinct().withColumn("part", F.pmod(F.xxhash64("pod"), F.lit(PARTS)).cast("int"))
+
+
+def _for_each_part(df: DataFrame) -> DataFrame:
+    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+
+
+def matching(tests: DataFrame, pods: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """tests (distinct selectors, none null, with columns of ``scope``) with the pods (in parts) that they match, once each.
 
     Each selector is looked up by the choice that the fewest pods meet, in an index of labels; the whole selector is tested
-    on what that finds. Selectors without a choice match almost everything: they meet all pods of their scope.
+    on what that finds. Selectors without a choice match almost everything: they meet all pods of their scope. Pods are
+    never broadcast: compressed tables look smaller to Spark than a driver's memory.
     """
     held = F.transform("pod.meta.labels", lambda e: F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")), F.struct(e["key"].alias("key"), F.lit(None).cast("string").alias("value"))))
-    index = pods.select("pod", *scope, F.explode(F.flatten(held)).alias("l")).select("pod", *scope, F.col("l.key").alias("key"), F.col("l.value").alias("value"))
+    index = pods.select("pod", "part", *scope, F.explode(F.array_distinct(F.flatten(held))).alias("l")).select("pod", "part", *scope, F.col("l.key").alias("key"), F.col("l.value").alias("value"))
     counts = index.groupBy("key", "value").agg(F.count("*").alias("pods")).withColumnsRenamed({"key": "ck", "value": "cv"})
-    tests = owners.select("selector").where("selector is not null").distinct().withColumn("choices", _choices(F.col("selector")))
-    each = tests.select("selector", F.posexplode("choices").alias("no", "entries")).select("selector", "no", F.explode_outer("entries").alias("e"))
-    costs = each.join(counts, (F.col("e.key") == F.col("ck")) & F.col("e.value").eqNullSafe(F.col("cv")), "left").groupBy("selector", "no").agg(F.sum(F.coalesce("pods", F.lit(0))).alias("cost"))
+    choices = tests.select("selector").distinct().withColumn("choices", _choices(F.col("selector")))
+    ways = choices.select("selector", F.posexplode("choices").alias("no", "entries"))
+    each = ways.select("selector", "no", "entries", F.explode_outer("entries").alias("e"))
+    costs = each.join(counts.hint("merge"), (F.col("e.key") == F.col("ck")) & F.col("e.value").eqNullSafe(F.col("cv")), "left").groupBy("selector", "no").agg(F.sum(F.coalesce("pods", F.lit(0))).alias("cost"))
     best = costs.groupBy("selector").agg(F.min(F.struct("cost", "no"))["no"].alias("best")).withColumnRenamed("selector", "s1")
-    probes = each.join(best, (F.col("selector") == F.col("s1")) & (F.col("no") == F.col("best"))).select(F.col("selector").alias("s2"), F.col("e.key").alias("pk"), F.col("e.value").alias("pv"))
-    asked = owners.join(probes, F.col("selector") == F.col("s2")).select(*owners.columns, "pk", "pv")
+    probes = each.join(best, (F.col("selector") == F.col("s1")) & (F.col("no") == F.col("best"))).select(F.col("selector").alias("s2"), F.col("e.key").alias("pk"), F.col("e.value").alias("pv"), "entries")
+    asked = _for_each_part(tests.join(probes, F.col("selector") == F.col("s2")).select(*tests.columns, "pk", "pv", "entries"))
     test = label_selector_matches(F.col("selector"), F.col("pod.meta.labels"))
 
-    def same_scope(a: DataFrame, b: DataFrame) -> Column:
-        return reduce(Column.__and__, [a[c] == b[c] for c in scope], F.lit(True))
+    place = ["part", *scope]
+    there = {c: f"at_{c}" for c in place}
+    same_place = reduce(Column.__and__, [F.col(c) == F.col(there[c]) for c in place])
+
+    # a pod that meets several entries of a choice counts by the first
+    has = lambda e: F.exists("pod.meta.labels", lambda x: (x["key"] == e["key"]) & (e["value"].isNull() | (x["value"] == e["value"])))
+    first = F.get(F.filter("entries", has), F.lit(0))
+    once = (F.size("entries") == 1) | (first["key"].eqNullSafe(F.col("pk")) & first["value"].eqNullSafe(F.col("pv")))
+    met = asked.join(index.withColumnsRenamed(there).hint("merge"), same_place & (F.col("pk") == F.col("key")) & F.col("pv").eqNullSafe(F.col("value")))
+    found = met.where(test & once).select("selector", *place, "pod")
+    broad = _for_each_part(tests.where(F.size(_choices(F.col("selector"))) == 0))
+    rest = broad.join(pods.withColumnsRenamed(there).hint("merge"), same_place).where(test)
+    return found.unionByName(rest.select("selector", *place, "pod"))
 
-    met = asked.join(index, same_scope(asked, index) & (asked["pk"] == index["key"]) & asked["pv"].eqNullSafe(index["value"]))
-    found = met.where(test).select("owner", "pod")
-    broad = owners.where((F.size(_choices(F.col("selector"))) == 0) & F.col("selector").isNotNull())
-    rest = broad.join(pods, same_scope(broad, pods)) if scope else broad.crossJoin(pods)
-    return found.unionByName(rest.where(test).select("owner", "pod"))
+
+def selected(owners: DataFrame, pods: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """owners (owner, selector and the columns of ``scope``) with the pods (pod and those columns) that their selectors match,
+    once each. Owners with the same selector and scope share its look-up and tests."""
+    owners = owners.where("selector is not null").distinct()
+    found = matching(owners.select("selector", *scope).distinct(), _in_parts(pods), scope)
+    return found.join(_for_each_part(owners).hint("merge"), ["selector", *scope, "part"]).select("owner", "pod")
 
 
 def matches_pod(s: State) -> DataFrame:
     """Every selector with every pod that it matches."""
-    owners = s["Selectors"].select(F.col("s").alias("owner"), F.col("s").alias("selector"))
-    found = selected(owners, s["PodByName"].select("pod"), ())
-    return found.select(F.col("owner").alias("selector"), F.col("pod.meta.namespace").alias("namespace"), "pod")
+    tests = s["Selectors"].select(F.col("s").alias("selector")).where("selector is not null").distinct()
+    found = matching(tests, _in_parts(s["PodByName"].select("pod")), ())
+    return found.select("selector", F.col("pod.meta.namespace").alias("namespace"), "pod")
 
 
 def _selects(owner: str, relation: str):

@@ -35,6 +35,19 @@ def mutated(field: T.StructField, value: Column) -> Column:
     return value
 
 
+def literal(value, kind: T.DataType) -> Column:
+    """A value as a constant, which Spark compares where the rows are made."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        return F.array(*[literal(x, kind.elementType) for x in value]).cast(kind)
+    if isinstance(kind, T.StructType):
+        named = value.asDict() if isinstance(value, Row) and hasattr(value, "__fields__") else value
+        values = [named.get(f.name) for f in kind] if isinstance(named, dict) else named
+        return F.struct(*[literal(x, f.dataType).alias(f.name) for x, f in zip(values, kind, strict=True)])
+    return F.lit(value).cast(kind)
+
+
 class UpdateError(ValueError):
     """An update that the relation's kind, key or content forbids, or one outside a transaction."""
 
@@ -234,10 +247,8 @@ class Session:
     def query_index(self, name: str, *key) -> DataFrame:
         index = self._index(name)
         rows = self.state[index.relation]
-        types = {c: rows.select(c).schema[0].dataType for c in index.key}
-        wanted = self.spark.createDataFrame([tuple(key)], "struct<" + ",".join(f"k{i}:{types[c].simpleString()}" for i, c in enumerate(index.key)) + ">")
-        match = reduce(Column.__and__, [rows[c].eqNullSafe(wanted[f"k{i}"]) for i, c in enumerate(index.key)])
-        return rows.join(F.broadcast(wanted), match, "left_semi").distinct()  # one row is broadcast
+        match = reduce(Column.__and__, [F.col(c).eqNullSafe(literal(value, rows.select(c).schema[0].dataType)) for c, value in zip(index.key, key, strict=True)])
+        return rows.where(match).distinct()
 
     def dump_index(self, name: str) -> DataFrame:
         return self.state[self._index(name).relation].distinct()

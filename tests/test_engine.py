@@ -125,6 +125,33 @@ def test_selected_pods_against_every_pair(spark, seed):
     assert state["MatchesPod"].count() == sum(matches(s, p[0][2]) for s in distinct for p in pods)
 
 
+def labelled(spark, n):
+    """Pods with a label, some of them twice, in two namespaces."""
+    pods = [((f"n{i % 2}", f"p{i}", [("segment", "ab"[i % 3 > 0])], []), (f"node{i % 2}",), ("Running",)) for i in range(n)]
+    return spark.createDataFrame(pods + pods[:3], S.POD)
+
+
+def indexed(spark):
+    p = cluster_program()
+    p.rules = [r for r in p.rules if r.head in p.needed(["MatchesPod"])]
+    s = Session(spark, p)
+    s.start()
+    s.insert("Pod", labelled(spark, 12).distinct())
+    s.insert("Selectors", [(([("segment", "a")], []),), (([], [("segment", "NotIn", ["a"])]),)])
+    s.commit(changes=False)
+    return s
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_look_up_in_one_namespace_broadcasts_no_pods(spark):
+    found = indexed(spark).query_index("MatchesPod", ([("segment", "a")], []), "n0")
+    assert "Broadcast" not in plan(found)
+    assert sorted(r["pod"]["meta"]["name"] for r in found.collect()) == ["p0", "p6"]
+
+
 def test_commits_of_new_rows_follow_as_changes(spark):
     """Random insertions and deletions, with recursion, a join of a relation with itself, a bag and a negation, against a
     session that evaluates everything anew."""
