@@ -152,6 +152,16 @@ def test_index_look_up_in_one_namespace_broadcasts_no_pods(spark):
     assert sorted(r["pod"]["meta"]["name"] for r in found.collect()) == ["p0", "p6"]
 
 
+def test_index_look_up_in_all_namespaces_broadcasts_no_pods(spark):
+    s = indexed(spark)
+    names = lambda df: sorted(r["pod"]["meta"]["name"] for r in df.collect())
+    found = s.query_index("MatchesPodAll", ([("segment", "a")], []))
+    assert "Broadcast" not in plan(found)
+    assert names(found) == ["p0", "p3", "p6", "p9"]
+    assert names(s.query_index("MatchesPodAll", ([], [("segment", "NotIn", ["a"])]))) == sorted(f"p{i}" for i in range(12) if i % 3)
+    assert s.query_index("MatchesPodAll", ([], [])).count() == 12 and s.query_index("MatchesPodAll", None).count() == 0
+
+
 def test_commits_of_new_rows_follow_as_changes(spark):
     """Random insertions and deletions, with recursion, a join of a relation with itself, a bag and a negation, against a
     session that evaluates everything anew."""
