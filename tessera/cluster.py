@@ -157,13 +157,13 @@ def program() -> Program:
     p.relation("NodesInUse", _fields(name=text), kind=OUTPUT)
     p.rule("NodesInUse", ["Pod"], nodes_in_use)
     p.relation("MatchesPod", _fields(selector=S.SELECTOR, namespace=text, pod=S.POD), kind=OUTPUT)
-    p.rule("MatchesPod", ["Selectors", "PodByName"], matches_pod)
+    p.rule("MatchesPod", ["Selectors", "PodByName"], matches_pod, unique=True)
     p.index("MatchesPod", "MatchesPod", "selector", "namespace")
     p.index("MatchesPodAll", "MatchesPod", "selector")
     p.relation("ServiceMatchesPod", _fields(rs=S.SERVICE, pod=S.POD), kind=OUTPUT)
-    p.rule("ServiceMatchesPod", ["ServiceByName", "PodByName"], _selects("svc", "ServiceByName"))
+    p.rule("ServiceMatchesPod", ["ServiceByName", "PodByName"], _selects("svc", "ServiceByName"), unique=True)
     p.relation("ReplicaSetMatchesPod", _fields(rs=S.REPLICA_SET, pod=S.POD), kind=OUTPUT)
-    p.rule("ReplicaSetMatchesPod", ["ReplicaSetByName", "PodByName"], _selects("rs", "ReplicaSetByName"))
+    p.rule("ReplicaSetMatchesPod", ["ReplicaSetByName", "PodByName"], _selects("rs", "ReplicaSetByName"), unique=True)
     p.relation("IngressToService", _fields(ing=S.INGRESS, svc=S.SERVICE), kind=OUTPUT)
     p.rule("IngressToService", ["Ingress", "ServiceByName"], ingress_to_service)
     # the recursion runs on names; the services themselves join once

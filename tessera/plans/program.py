@@ -40,12 +40,14 @@ class Relation:
 
 @dataclass(frozen=True)
 class Rule:
-    """head :- body(reads). ``negated`` are the relations that the body reads through an antijoin or an aggregate."""
+    """head :- body(reads). ``negated`` are the relations that the body reads through an antijoin or an aggregate. ``unique``:
+    the body gives no row twice, whatever it reads."""
 
     head: str
     reads: tuple[str, ...]
     body: Callable[[State], DataFrame]
     negated: tuple[str, ...] = ()
+    unique: bool = False
 
 
 @dataclass(frozen=True)
@@ -80,10 +82,10 @@ class Program:
         self.relations[name] = Relation(name, schema, **options)
         return self.relations[name]
 
-    def rule(self, head: str, reads: list[str], body: Callable[[State], DataFrame], negated: list[str] = ()) -> None:
+    def rule(self, head: str, reads: list[str], body: Callable[[State], DataFrame], negated: list[str] = (), unique: bool = False) -> None:
         if self.relations[head].kind == INPUT:
             raise ValueError(f"input relation {head} can't have rules")
-        self.rules.append(Rule(head, tuple(reads), body, tuple(negated)))
+        self.rules.append(Rule(head, tuple(reads), body, tuple(negated), unique))
 
     def index(self, name: str, relation: str, *key: str) -> None:
         self.indexes[name] = Index(name, relation, key)
@@ -175,7 +177,8 @@ class Program:
             parts = [r.body(state).select(*self.relations[name].schema.names) for r in self.rules if r.head == name] + made
             rows = union(*parts) if parts else spark.createDataFrame([], self.relations[name].schema)
             rows = self._with_facts(spark, name, rows)
-            state[name] = rows.distinct() if self.relations[name].distinct else rows
+            alone = len(parts) == 1 and name not in self.facts and all(r.unique for r in self.rules if r.head == name) and not made
+            state[name] = rows.distinct() if self.relations[name].distinct and not alone else rows
         return {name: df for name, df in state.items() if name not in past}
 
     def advance(self, state: State, added: State) -> tuple[State, State] | None:

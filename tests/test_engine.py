@@ -162,6 +162,17 @@ def test_index_look_up_in_all_namespaces_broadcasts_no_pods(spark):
     assert s.query_index("MatchesPodAll", ([], [])).count() == 12 and s.query_index("MatchesPodAll", None).count() == 0
 
 
+def test_pairs_of_selectors_and_pods_come_once_and_are_not_compared(spark):
+    """Repeated rows, values that are listed twice and a pod that meets two of the listed values."""
+    selectors = [([], [("segment", "In", ["a", "a", None, "b"])]), ([("segment", "a")], []), ([], [("segment", "Exists", [])]), ([], [])]
+    sets = [((f"n{i % 2}", f"r{i}", [], []), (selectors[i % 4],)) for i in range(8)]
+    inputs = {"Pod": labelled(spark, 12), "ReplicaSet": spark.createDataFrame(sets + sets[:5], S.REPLICA_SET)}
+    found = cluster_program().evaluate(spark, inputs, only=["ReplicaSetMatchesPod"])["ReplicaSetMatchesPod"]
+    assert "Aggregate" not in "".join(plan(found).split("\n")[:4])  # not made distinct once more
+    got = sorted((r["rs"]["meta"]["name"], r["pod"]["meta"]["name"]) for r in found.collect())
+    assert got == sorted((f"r{i}", f"p{j}") for i in range(8) for j in range(12) if i % 2 == j % 2 and (i % 4 != 1 or j % 3 == 0))
+
+
 def test_commits_of_new_rows_follow_as_changes(spark):
     """Random insertions and deletions, with recursion, a join of a relation with itself, a bag and a negation, against a
     session that evaluates everything anew."""
