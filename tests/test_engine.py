@@ -1,10 +1,12 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera import operators as O
+from tessera import queries
 from tessera import types as S
 from tessera.cluster import program as cluster_program
 from tessera.functions import maps, numeric, strings, vectors
@@ -323,6 +325,30 @@ def test_recursion_with_deletion(spark):
     assert {"".join(r) for r in values(s.relation("Ancestor"))} == {"BC", "BD", "AE"}
 
 
+@pytest.mark.parametrize("chunk", [1024, 3])
+def test_unrelated_pairs_of_any_order(spark, monkeypatch, chunk):
+    """Nodes with several parents and several topmost ancestors, against every pair; no pair is shuffled."""
+    import random
+
+    monkeypatch.setattr(queries, "CHUNK", chunk)
+    r = random.Random(chunk)
+    over = {i: {p for p in r.sample(range(i), min(i, r.choice([0, 1, 1, 2])))} for i in range(30)}
+    above = {}
+    for i in range(30):
+        above[i] = over[i].union(*[above[p] for p in over[i]])
+    rows = spark.createDataFrame([(a, d) for d in above for a in above[d]], "a long, d long")
+    found = queries.unrelated({"Ancestor": rows})
+    assert sorted(tuple(x) for x in found.collect()) == sorted((x, y) for x in above for y in above if x != y and above[x] & above[y] and x not in above[y] and y not in above[x])
+    joined = plan(found).split("SortMergeJoin")[0]
+    assert "Exchange" not in joined and "Aggregate" not in joined
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_recursion_negation_shuffles_no_pair(spark):
+    above_join = plan(queries.QUERIES["recursion_negation"](spark, "/root/testdata/sf0.01")).split("SortMergeJoin")[0]
+    assert "Exchange" not in above_join and "Aggregate" not in above_join
+
+
 def test_input_relation_in_recursion_is_refused():
     p = Program()
     p.relation("R", LONG, kind=INPUT)
