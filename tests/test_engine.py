@@ -16,6 +16,7 @@ from tessera.plans.program import INPUT, MULTISET, OUTPUT, STREAM, Program
 from tessera.plans.session import Session, UpdateError
 from tessera.sources import updates_from_json
 from tessera.sources.jsonfeed import FeedError
+from tessera.storage import drop, written
 
 LONG = T.StructType([T.StructField("x", T.LongType())])
 PAIR = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
@@ -422,3 +423,19 @@ def test_json_feed():
     for bad in ({"tab": {"u": {"x": 1}}}, {"tab": {"u": {"insert": {"a": -1}}}}, {"tab": {"u": {"insert": {"a": 1.5}}}}):
         with pytest.raises(FeedError):
             list(updates_from_json("", json.dumps(bad)))
+
+
+def test_written_tables_start_few_processes_and_are_verified(spark):
+    """A chmod process is started for every file and checksum file of a mounted folder: there are the data files only."""
+    back = written(spark.range(1000, numPartitions=3).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")))
+    place = back._tessera_path.removeprefix("file://")
+    names = sorted(os.listdir(place))
+    assert len(names) == 3 and all(n.startswith("part-") for n in names)
+    assert back.count() == 1000 and back.agg(F.sum("id")).first()[0] == 499500
+    whole = open(f"{place}/{names[1]}", "rb").read()
+    with open(f"{place}/{names[1]}", "wb") as f:
+        f.write(whole[:8000] + bytes([whole[8000] ^ 1]) + whole[8001:])
+    with pytest.raises(Exception, match="(?i)corrupt|crc|checksum"):
+        back.agg(F.sum(F.length("h"))).collect()
+    drop(back)
+    assert not os.path.exists(place)
