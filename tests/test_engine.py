@@ -350,6 +350,18 @@ def test_recursion_negation_shuffles_no_pair(spark):
     assert "Exchange" not in above_join and "Aggregate" not in above_join
 
 
+def test_unrelated_pairs_are_listed_and_not_judged_one_by_one(spark):
+    """A root with two chains below it and nulls: nodes meet groups as arrays, and only a node's kin is taken out of them."""
+    chains = {2: 1, 4: 2, 6: 4, 3: 1, 5: 3}
+    above = lambda n: {chains[n]} | above(chains[n]) if n in chains else set()
+    rows = spark.createDataFrame([(a, d) for d in chains for a in above(d)] + [(None, 4), (7, None)], "a long, d long")
+    found = queries.unrelated({"Ancestor": rows})
+    assert sorted(tuple(x) for x in found.collect()) == sorted((x, y) for left in ((2, 4, 6), (3, 5)) for x in left for y in {2, 3, 4, 5, 6} - set(left))
+    head, joined = plan(found).split("SortMergeJoin")[:2]
+    assert "Generate explode" in head and "Filter" not in head
+    assert "array_contains" not in head and "array_contains" not in joined.split("\n")[0]
+
+
 def test_input_relation_in_recursion_is_refused():
     p = Program()
     p.relation("R", LONG, kind=INPUT)
